@@ -163,7 +163,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
         at = TaskContext.get()
         name = f"part-{at.partitionId():05d}-{at.taskAttemptId()}.warc.gz"
         number, whole = lambda v: int(v) if isinstance(v, str) else None, 0
-        with fs.open_output_stream(f"{path}/{name}") as out:
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
             for batch in batches:
                 rows = []
                 for page, url, html, target in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
@@ -193,7 +193,7 @@ def write_index(spark: SparkSession, captures: DataFrame, folder: str) -> list[t
         directory: list[tuple[str, int, int]] = []
         block: list[tuple] = []
         state = {"at": 0, "first": None, "last": None}
-        with fs.open_output_stream(f"{path}/{name}") as out:
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
 
             def flush() -> None:
                 data = zlib.compress("\n".join("\t".join(map(str, r)) for r in block).encode("utf-8", "surrogatepass"), LEVEL)

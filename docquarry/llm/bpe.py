@@ -316,8 +316,9 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text, encoded and decoded by streaming.
 
     The ids are those of the tokenizers library without special tokens added; a special token's string in a text is that
-    token. A null text is an empty one: no tokens, the digests of nothing. Rows are independent; extra columns stay.
+    token. A null text is an empty one: no tokens, the digests of nothing. Rows are independent; extra columns stay, but for those of the same names.
     """
     small_batches(spark)
     made = docs.withColumn("_d", digest_udf(shipped(spark, path))("text"))
-    return made.select(*docs.columns, "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")
+    own = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return made.select(*[f"`{c}`" for c in docs.columns if c not in own], *[f"_d.{c}" for c in own])

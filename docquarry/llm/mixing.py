@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ from docquarry.llm.shingles import PRIME, mix
 
 #: Words of a block, weights of the sources in order (repeating), most passes over a source.
 BLOCK_WORDS, WEIGHTS, MOST = 64, (5, 2, 1), 3
-#: Output shards, rows of a packing bucket, slots dealt out by one row, sources that the driver plans for.
+#: Output shards, rows of a packing bucket, slots dealt out by one row, sources (and sources times shards) that the driver plans for.
 SHARDS, BUCKET_ROWS, SLOT_STEP, MAX_SOURCES = 256, 20_000, 65_536, 1_000_000
 
 
@@ -123,7 +123,6 @@ def packed(docs: DataFrame, size: Column, keys: Sequence[str], bucket_rows: int
     A source's documents stand in a fixed order of hashed buckets, by doc_id and text hash within them; a prefix sum over
     the buckets places them, so no task holds a source.
     """
-    spark = docs.sparkSession
     sized = docs.select(*keys, "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"))
     sized = cut(sized, "sizes")
     by = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -139,7 +138,6 @@ def packed(docs: DataFrame, size: Column, keys: Sequence[str], bucket_rows: int
     same = (placed.source.eqNullSafe(totals.source)) & (placed.bucket == totals.bucket)
     placed = placed.join(totals, same).select(*[placed[k] for k in keys], placed.doc_id, placed.source, placed.text_hash, "size", (F.col("base") + F.col("inner")).alias("start"))
     idle = sized.where("size = 0").select(*keys, "doc_id", "source", "text_hash", "size", F.lit(None).cast("long").alias("start"))
-    del spark
     return cut(placed.unionByName(idle), "packed"), {r.source: r["size"] for r in by}
 
 
@@ -163,7 +161,8 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGH
     if not any(s.slots or s.tail for s in plan):
         none = place.where("false").select("start", "number", *[F.lit(0).cast("long").alias(c) for c in ("first", "last", "uses", "part")])
         return place.withColumn("taken", F.lit(0).cast("long")), none
-    slots = slot_blocks(spark, plan, min(shards, max(1, sum(s.slots for s in plan) // 16)), seed)
+    shards = max(1, min(shards, sum(s.slots for s in plan) // 16, MAX_SOURCES // len(plan)))
+    slots = slot_blocks(spark, plan, shards, seed)
     used = slots.groupBy("number", "block").agg(F.count(F.when(F.col("take").isNull(), 1)).alias("uses"), F.coalesce(F.max("take"), F.lit(0)).alias("take"))
     spans = place.where("size > 0").select("number", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     met = spans.join(used, ["number", "block"])
@@ -194,23 +193,16 @@ def mix_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     runs = runs.join(out.select("number", "start", "doc_id", "text_hash", "size"), ["number", "start"])
     # Rows repeated in full have runs of their own; which of them takes which does not matter, so they are numbered.
     twins = Window.partitionBy("doc_id", "text_hash", "number").orderBy("start")
-    runs = cut(runs.withColumn("twin", F.dense_rank().over(twins)).select("doc_id", "text_hash", "twin", "runs", "words", "size"), "runs")
+    runs = runs.withColumn("twin", F.dense_rank().over(twins))
+    runs = cut(runs.select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "text_hash", "twin", "runs", "words", "size")]), "runs")
     columns = docs.columns
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    first = runs.where("twin = 1")
-    same = keyed.doc_id.eqNullSafe(runs.doc_id) & (keyed["_hash"] == runs.text_hash)
-    joined = keyed.dropDuplicates(["doc_id", "_hash"]).join(runs, same) if _repeats(runs) else keyed.join(first, keyed.doc_id.eqNullSafe(first.doc_id) & (keyed["_hash"] == first.text_hash))
-    parts = F.expr(f"""regexp_extract_all(text, '{WORD}[\\\\x20\\\\x09-\\\\x0D]*', 0)""")
-    picked = F.expr("array_join(flatten(transform(runs, r -> slice(_words, int(r.first) + 1, int(r.last - r.first)))), '')")
-    whole = joined.withColumn("_words", F.when(F.col("words") < F.col("size"), parts)).withColumn("_text", F.when(F.col("words") < F.col("size"), picked).otherwise(keyed.text))
-    return whole.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else keyed[c] for c in columns])
-
-
-def _repeats(runs: DataFrame) -> bool:
-    return not runs.where("twin > 1").isEmpty()
-
-
-def iterate_blocks(words: Sequence[str], block: int = BLOCK_WORDS) -> Iterator[Sequence[str]]:
-    """The blocks of a source's words, the last one shorter: the packing that mixed() describes by places."""
-    for start in range(0, len(words), block):
-        yield words[start : start + block]
+    keyed = docs.withColumn("_mix_hash", F.xxhash64("text"))
+    if not runs.where("_mix_twin > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "_mix_hash"])
+    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")) & (F.col("_mix_hash") == F.col("_mix_text_hash")))
+    parts = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    # Bound to a variable, so that a text is split once, not for each of its runs.
+    piece = lambda w: lambda r: F.slice(w, (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int"))
+    picked = F.get(F.transform(F.array(parts), lambda w: F.array_join(F.flatten(F.transform("_mix_runs", piece(w))), "")), 0)
+    whole = joined.withColumn("_mix_text", F.when(F.col("_mix_words") < F.col("_mix_size"), picked).otherwise(F.col("text")))
+    return whole.select(*[F.col("_mix_text").alias("text") if c == "text" else F.length("_mix_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.shared import WORD, cut
 
 #: Hash buckets of words and word pairs, smoothing count, least mean log-likelihood ratio of a kept document.
-BUCKETS, SMOOTHING, LEAST_RATIO = 10_000, 1.0, -0.5
+BUCKETS, SMOOTHING, LEAST_RATIO = 10_000, 1.0, -0.07
 #: Trusted documents that the target is counted on, a documented bound: the lowest of them by hash.
 TRUSTED_ROWS = 20_000
 MIN_WORDS, MOST_REPEATED = 50, 50
@@ -72,13 +72,14 @@ def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, least: float
     percent of them in repeated three-word windows. ratio: the mean log-likelihood ratio of the text's words and word pairs,
     trusted documents (the rows of trusted, by doc_id) against all of docs; 0 for a text without words and where no document is trusted.
     kept: not base_failed, and ratio >= least. The same table gives the same verdicts. A null text has no words: it fails.
-    Extra columns stay; repeated rows count as often as they stand; an empty table gives no rows.
+    Extra columns stay, but for those of the same names; repeated rows count as often as they stand; an empty table gives no rows.
     """
     table = ratio_table(docs, trusted)
     counted = bind("w", WORDS_SQL, f"struct(bigint(size(w)) as n_words, {REPEATS_SQL} as n_repeat_words, {bind('f', FEATURES_SQL, 'aggregate(f, 0D, (a, b) -> a + get(_r, b)) / greatest(1, size(f))')} as ratio)")
+    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "base_failed", "kept")
     out = docs.withColumn("_r", table.scalar()).withColumn("_c", F.expr(counted))
     out = out.select(
-        *docs.columns,
+        *[f"`{c}`" for c in docs.columns if c not in own],
         F.col("_c.n_words").alias("n_words"),
         F.expr(f"bigint(length(translate(coalesce(text, ''), '{SPACE}', '')))").alias("word_chars"),
         F.expr(f"bigint(length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{SYMBOLS}', '')))").alias("n_symbols"),

@@ -79,7 +79,7 @@ def test_decoder_waits_for_whole_characters():
 
 
 def test_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None, 5), (None, "", 6), (2, "a b", 7), (2, "a b", 7)], "doc_id long, text string, n_tokens_old int")
+    docs = spark.createDataFrame([(1, None, 5), (None, "", 6), (2, "a b", 7), (2, "a b", 7)], "doc_id long, text string, n_tokens int")
     out = bpe.encode_decode(spark, docs, PATH).collect()
     empty = hashlib.sha256(b"").hexdigest()
     assert [(r.n_tokens, r.ids_sha256 == empty, r.decoded_sha256 == empty) for r in out] == [(0, True, True), (0, True, True), (2, False, False), (2, False, False)]

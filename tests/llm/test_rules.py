@@ -58,7 +58,7 @@ def test_ratio_against_brute_force(spark, sf):
 def test_odd_rows(spark):
     many = " ".join(f"{i} {i}" for i in range(400)) + "\n"
     texts = [None, "", " \n\x0b ", "a a a a", "a b c a b c", "x\ny\nx\n\ny \ny", "\x1c \x85  b", "# * $ %", many * 2, "p q r s " * 300, "ñ é 日本"]
-    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in enumerate(texts)] + [(3, "a a a a", 0, 0)], "doc_id long, text string, w int, g int")
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in enumerate(texts)] + [(3, "a a a a", 0, 0)], "doc_id long, text string, n_words int, g int")
     rows = rules.judge(spark, docs, docs.where("false")).collect()
     assert len(rows) == len(texts) + 1
     for r in rows:

@@ -7,6 +7,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class Store:
+    """Commands on keys as entries of a log: what is asked is answered from the log's fold, in the order of the commands."""
+
+    def __init__(self, log: DataFrame):
+        self.log = log
+
+    def _append(self, op: str, key: str, value: str | None = None, expected_version: int | None = None) -> None:
+        spark = self.log.sparkSession
+        seq = (self.log.agg(F.max("seq")).first()[0] or 0) + 1
+        entry = spark.createDataFrame([(seq, op, key, value, expected_version)], "seq long, op string, key string, value string, expected_version long")
+        self.log = self.log.unionByName(entry)
+
+    def set(self, key: str, value: str) -> None:
+        self._append("set", key, value)
+
+    def delete(self, key: str) -> None:
+        self._append("del", key)
+
+    def cas(self, key: str, expected_version: int, value: str) -> str:
+        """Set the value if the key's version is the one expected; returns ok, version_mismatch or not_found."""
+        self._append("cas", key, value, expected_version)
+        return replay(self.log.where(F.col("key") == key)).orderBy(F.desc("seq")).first().status
+
+    def get(self, key: str) -> str | None:
+        """The value now: the last of the key's folded history, which is all that is read."""
+        row = replay(self.log.where(F.col("key") == key)).orderBy(F.desc("seq")).first()
+        return row.value if row else None
+
+    def keys(self) -> DataFrame:
+        return latest(self.log).select("key")
+
+
 def latest(log: DataFrame) -> DataFrame:
     """(key, value) after a log of set and del operations; a deleted key has no row. Pre-aggregated by key before the shuffle."""
     last = log.where("op in ('set', 'del')").groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("last"))

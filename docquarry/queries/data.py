@@ -231,6 +231,13 @@ def w_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.compactable(entries, 550)
 
 
+@query("""SELECT user_id, event_id AS seq, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events
+ WHERE ts <= (SELECT max(ts) FROM events WHERE event_id < 500)) WHERE r = 1""")
+def wb_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), "ts", "event_type")
+    return changelog.last_writes(queue, ["user_id"], middle(spark, sf_dir)).select("user_id", "seq", "event_type")
+
+
 @query("SELECT s_suppkey AS backup_id, rank, rank <= 5 AS kept FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey DESC) AS rank FROM supplier)")
 def b_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     backups = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("backup_id"), F.col("s_acctbal").alias("created_at"))

@@ -62,6 +62,14 @@ class Collection:
     def explain(self, request: Mapping[str, Any]) -> planner.Plan:
         return planner.plan(parse_query(request), list(self.indexes.values()))
 
+    def warm(self, limit: int | None = None) -> int:
+        """Keep the collection (or up to limit documents of it, as a view of their own) in memory across executors; returns how many."""
+        kept = self.df.cache() if limit is None else self.df.limit(limit).cache()
+        return kept.count()
+
+    def cool(self) -> None:
+        self.df.unpersist()
+
     def count(self) -> int:
         return self.df.count()
 

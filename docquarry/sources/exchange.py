@@ -62,6 +62,12 @@ def read_snapshot(spark: SparkSession, root: str, collection: str, sequence: int
     return df
 
 
+def snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """(sequence, collection, documents, checksum) of the snapshots under root, newest first."""
+    read = spark.read.schema("documents long, checksum long, sequence long, collection string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    return read.json(root).where("sequence is not null").select("sequence", "collection", "documents", "checksum").orderBy(F.desc("sequence"), "collection")
+
+
 def retained(backups: DataFrame, kept: int = KEPT) -> DataFrame:
     """backups (backup_id, created_at, ...) with rank, newest first, and kept."""
     rank = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("backup_id")))

@@ -87,13 +87,19 @@ def follow(stream: DataFrame, target: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
 
+def last_writes(queue: DataFrame, keys: list[str], due: Column | None = None) -> DataFrame:
+    """Of queued writes (keys..., seq, ts, ...), the last of each key among those that are due: what a flush stores."""
+    if due is not None:
+        queue = queue.where(F.col("ts") <= due)
+    others = [c for c in queue.columns if c not in keys]
+    return queue.groupBy(*keys).agg(F.max_by(F.struct(*others), "seq").alias("w")).select(*keys, "w.*")
+
+
 def write_behind(stream: DataFrame, target: str, checkpoint: str, keys: list[str], delay: str = "0 seconds", available_now: bool = True) -> StreamingQuery:
     """Flush queued writes (keys..., seq, ts, ...) to target: per batch the last write of each key older than the delay."""
 
     def flush(batch: DataFrame, epoch: int) -> None:
-        others = [c for c in batch.columns if c not in keys]
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), "seq").alias("w")).select(*keys, "w.*")
-        last.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        last_writes(batch, keys).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     due = stream.where(F.col("ts") <= F.current_timestamp().cast("timestamp_ntz") - F.expr(f"interval {delay}"))
     writer = due.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)

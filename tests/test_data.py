@@ -202,6 +202,8 @@ def test_exchange(spark, tmp_path):
     assert sorted(r._id for r in dynamic.collect()) == ["1", "2"]
     exchange.write_snapshot(df, str(tmp_path / "snap"), "c", 7)
     assert exchange.read_snapshot(spark, str(tmp_path / "snap"), "c", 7).count() == 2
+    exchange.write_snapshot(df.limit(1), str(tmp_path / "snap"), "c", 9)
+    assert [(r.sequence, r.collection, r.documents) for r in exchange.snapshots(spark, str(tmp_path / "snap")).collect()] == [(9, "c", 1), (7, "c", 2)]
     df.limit(1).write.mode("append").parquet(str(tmp_path / "snap/seq=000000000007/collection=c/data"))
     with pytest.raises(ValueError):
         exchange.read_snapshot(spark, str(tmp_path / "snap"), "c", 7)
@@ -261,6 +263,21 @@ def test_kv(spark):
     assert got(kv.statistics(log)) == [(8, 4, 1, 2, 4)]
 
 
+def test_store(spark):
+    s = kv.Store(spark.createDataFrame([], "seq long, op string, key string, value string, expected_version long"))
+    s.set("k", "a")
+    assert s.get("k") == "a" and s.get("q") is None and s.cas("k", 999, "x") == "version_mismatch" and s.cas("k", 1, "b") == "ok" and s.cas("q", 1, "x") == "not_found"
+    assert s.get("k") == "b"
+    s.delete("k")
+    assert s.get("k") is None and s.keys().count() == 0
+
+
+def test_warm(spark):
+    c = Engine(spark).create("w", spark.range(10).withColumn("_id", F.col("id").cast("string")))
+    assert c.warm() == 10 and c.warm(3) == 3 and c.df.is_cached
+    c.cool()
+
+
 # Monitoring and security
 
 

@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.plans.compile import Typed
+from docquarry.session import ship
 
 #: Bytes that a value of each kind counts, and what a container adds; the bounds of a document.
 FIXED_SIZES = {T.BooleanType: 1, T.ByteType: 4, T.ShortType: 4, T.IntegerType: 4, T.LongType: 8, T.FloatType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8, T.DateType: 8}
@@ -125,6 +126,7 @@ def decrypt(column: Column, key: Column) -> Column:
 
 def fnv1a(column: Column) -> Column:
     """FNV-1a, 64 bits, of UTF-8 text or bytes, as a signed long."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("long")
     def hashed(values: pd.Series) -> pd.Series:

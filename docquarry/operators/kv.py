@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.session import ship
+
 
 class Store:
     """Commands on keys as entries of a log: what is asked is answered from the log's fold, in the order of the commands."""
@@ -86,5 +88,6 @@ def replay(log: DataFrame) -> DataFrame:
         made = pd.DataFrame(out, columns=["seq", "key", "op", "status", "version", "value"])
         return made.astype({"version": "Int64"})
 
+    ship(log.sparkSession)
     kind = dict(log.dtypes)
     return log.groupBy("key").applyInPandas(fold, f"seq long, key {kind['key']}, op string, status string, version long, value {kind['value']}")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Adaptive plans split skewed joins and merge small partitions; sessions run in UTC.
@@ -21,3 +25,17 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once a context: their Python need not have it on its path."""
+    context = spark.sparkContext
+    if getattr(context, "_docquarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="docquarry-")) / "docquarry.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path("docquarry") / file.relative_to(root))
+    context.addPyFile(str(target))
+    context._docquarry_shipped = True

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.session import ship
+
 #: Backups that are kept, the most a changelog file holds, and a changelog's columns.
 KEPT, SEGMENT_BYTES = 5, 100 * 1024 * 1024
 ENTRY = "sequence long, timestamp timestamp_ntz, op string, collection string, doc_id string, changes string"
@@ -121,6 +123,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
                     at = at + 8 + size if len(tail) == 4 else len(content)
                 yield pd.DataFrame(rows, columns=["file", "place", "json", "intact"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse, "file string, place long, json string, intact boolean")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docquarry.functions.values import glob_pattern
+from docquarry.session import ship
 
 #: Messages that wait for a subscriber, and bytes that one may have.
 CAPACITY, MAX_BYTES = 1000, 1024 * 1024
@@ -121,4 +122,5 @@ class BoundedQueue(StatefulProcessor):
 
 def queue_stream(deliveries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """For a stream of deliveries: (subscriber_id, queued, oldest, newest, dropped) after each batch. Needs the RocksDB state store."""
+    ship(deliveries.sparkSession)
     return deliveries.groupBy("subscriber_id").transformWithStateInPandas(BoundedQueue(capacity), "subscriber_id long, queued long, oldest long, newest long, dropped long", "Update", "None")

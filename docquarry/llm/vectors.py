@@ -9,18 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.components import components
-from docquarry.llm.shared import cut
+from docquarry.llm.components import components, spanning_roots
+from docquarry.llm.shared import cut, prepare
 
 COSINE = 0.95
-#: Blocks of the rotated space, leading coordinates of a block that its grid uses, vectors that fit the rotation.
-BLOCKS, GRID, FIT_ROWS = 4, 2, 4096
-#: Least and most vectors of one side of a tile; in between, a sixteenth of all.
-TILE_LEAST, TILE_MOST = 512, 8192
+#: Blocks of the rotated space, vectors that fit the rotation.
+BLOCKS, FIT_ROWS = 4, 4096
+#: Least and most vectors of one side of a tile; in between, a sixth of all. Rows that one matrix product takes.
+TILE_LEAST, TILE_MOST, STEP = 512, 8192, 512
 SLACK = 1e-4
-#: Cells that follow a cell: with the cell itself, each pair of neighbouring cells comes once.
-FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
-TILE = ["block", "ax", "ay", "ai", "bx", "by", "bi"]
+TILE = ["block", "ax", "ai", "bx", "bi"]
 
 
 def rotate(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
@@ -65,8 +63,8 @@ def tile_links(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, blo
     left, right = [], []
     pb = rb[:, lo:hi]
     nb = (pb**2).sum(1)
-    for start in range(0, len(ra), 1024):
-        pa = ra[start : start + 1024, lo:hi]
+    for start in range(0, len(ra), STEP):
+        pa = ra[start : start + STEP, lo:hi]
         near = (pa**2).sum(1)[:, None] + nb[None, :] - 2 * pa @ pb.T <= budget + SLACK
         if same:
             near &= np.arange(start, start + len(pa))[:, None] < np.arange(len(rb))[None, :]
@@ -84,20 +82,6 @@ def tile_links(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, blo
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
 
 
-def spanning_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n places the least place that the pairs connect it with."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of rows (vec_id, embedding; other columns are ignored).
 
@@ -108,20 +92,21 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = COSINE, b
 
     Equal vectors are one representative, its copies counted. Unit vectors are rotated by an orthonormal basis (fitted
     on FIT_ROWS of them; any basis gives the same result) and split into blocks. Linked vectors are within the squared
-    distance 2 - 2 * cosine, so in one block at least within that block's share of it: each block is range-joined on a grid
-    as wide as its share, cells chunked by hash into tiles of bounded size, each pair of neighbouring cells once. A
-    pair counts in the first block that it passes, exactly verified there, so tiles return counts and spanning edges
+    distance 2 - 2 * cosine, so in one block at least within that block's share of it: each block is range-joined over cells
+    of its leading coordinate, as wide as its share, chunked by hash into tiles of bounded size, each pair of neighbouring
+    cells once. A pair counts in the first block that it passes, exactly verified there, so tiles return counts and spanning edges
     instead of pairs.
     """
+    prepare(spark)
     clean = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
     clean &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     base = base.withColumn("clean", F.coalesce(clean, F.lit(False)))
     reps = base.where("clean").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = cut(reps.withColumn("dims", F.size("embedding")), "vectors")
-    found = None
+    found, single = None, dict(rows.dtypes)["embedding"] == "array<float>"
     for dims, n in sorted((r.dims, r["count"]) for r in reps.groupBy("dims").count().collect()):
-        some = dimension_links(spark, reps.where(F.col("dims") == dims), dims, n, cosine, min(blocks, dims))
+        some = dimension_links(spark, reps.where(F.col("dims") == dims), dims, n, cosine, min(blocks, dims), single)
         found = some if found is None else found.unionByName(some)
     if found is None:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
@@ -135,59 +120,52 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = COSINE, b
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def dimension_links(spark: SparkSession, reps: DataFrame, dims: int, n: int, cosine: float, blocks: int) -> DataFrame:
+def dimension_links(spark: SparkSession, reps: DataFrame, dims: int, n: int, cosine: float, blocks: int, single: bool) -> DataFrame:
     """(vec, links, root) rows of the tiles of vectors of one length: links to add up, and edges that connect."""
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("embedding").collect()
     rotation = fitted_rotation(unit(np.array([r.embedding for r in sample]).reshape(-1, dims)), dims, blocks)
     edges, total = block_edges(dims, blocks), 2 - 2 * cosine + 1e-6
-    tile = max(TILE_LEAST, min(TILE_MOST, n // 16))
+    tile = max(TILE_LEAST, min(TILE_MOST, n // 6))
+    # Single-precision input stays so on its way: the sums are in double precision either way.
+    kind = np.float32 if single else np.float64
     widths = [float(np.sqrt(total * (edges[b + 1] - edges[b]) / dims)) * (1 + 1e-5) for b in range(blocks)]
 
-    def cells_of(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def cells_of(x: np.ndarray) -> list[np.ndarray]:
         turned = rotate(unit(x), rotation)
-        out = []
-        for b in range(blocks):
-            grid = [np.floor(turned[:, edges[b] + g] / widths[b]).astype(np.int64) if edges[b] + g < edges[b + 1] else np.zeros(len(x), np.int64) for g in range(GRID)]
-            out.append((grid[0], grid[1]))
-        return out
+        return [np.floor(turned[:, edges[b]] / widths[b]).astype(np.int64) for b in range(blocks)]
 
     def count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = cells_of(np.stack(batch["embedding"].to_numpy()))
-            yield pd.concat([pd.DataFrame({"block": b, "x": x, "y": y}) for b, (x, y) in enumerate(got)])
+            yield pd.concat([pd.DataFrame({"block": b, "x": x}) for b, x in enumerate(got)])
 
-    # Coordinates of unit vectors are within 1, so a block has (2 / width + 2) ** 2 cells at most: the collected counts are bounded.
-    cells = reps.select("embedding").mapInPandas(count_cells, "block int, x long, y long").groupBy("block", "x", "y").count().collect()
-    pieces = {(r.block, r.x, r.y): -(-r["count"] // tile) for r in cells}
+    # Coordinates of unit vectors are within 1, so a block has 2 / width + 2 cells at most: the collected counts are bounded.
+    cells = reps.select("embedding").mapInPandas(count_cells, "block int, x long").groupBy("block", "x").count().collect()
+    pieces = {(r.block, r.x): -(-r["count"] // tile) for r in cells}
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch["embedding"].to_numpy())
             ids, copies = batch["rep"].to_numpy(np.int64), batch["copies"].to_numpy(np.int64)
-            whole = [v.tobytes() for v in x]
+            whole = [v.tobytes() for v in x.astype(kind)]
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             rows: list[tuple] = []
-            for b, (gx, gy) in enumerate(cells_of(x)):
-                for k, (cx, cy, h) in enumerate(zip(gx.tolist(), gy.tolist(), mixed.tolist(), strict=True)):
-                    parts = pieces[b, cx, cy]
-                    i = h % parts
+            for b, cells in enumerate(cells_of(x)):
+                for k, (c, h) in enumerate(zip(cells.tolist(), mixed.tolist(), strict=True)):
+                    i = h % pieces[b, c]
                     own = (int(ids[k]), int(copies[k]), whole[k])
-                    for j in range(parts):
-                        rows.append((b, cx, cy, min(i, j), cx, cy, max(i, j), i > j, *own))
-                    for dx, dy in FORWARD:
-                        for j in range(pieces.get((b, cx + dx, cy + dy), 0)):
-                            rows.append((b, cx, cy, i, cx + dx, cy + dy, j, False, *own))
-                        for j in range(pieces.get((b, cx - dx, cy - dy), 0)):
-                            rows.append((b, cx - dx, cy - dy, j, cx, cy, i, True, *own))
-                    if len(rows) > 20_000:
+                    rows += [(b, c, min(i, j), c, max(i, j), i > j, *own) for j in range(pieces[b, c])]
+                    rows += [(b, c, i, c + 1, j, False, *own) for j in range(pieces.get((b, c + 1), 0))]
+                    rows += [(b, c - 1, j, c, i, True, *own) for j in range(pieces.get((b, c - 1), 0))]
+                    if len(rows) > 10_000:
                         yield pd.DataFrame(rows, columns=[*TILE, "second", "rep", "copies", "vector"])
                         rows = []
             yield pd.DataFrame(rows, columns=[*TILE, "second", "rep", "copies", "vector"])
 
     def joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        same = key[1:4] == key[4:7]
+        same = key[1:3] == key[3:5]
         group = group.sort_values("rep")
-        x = np.frombuffer(b"".join(group["vector"]), np.float64).reshape(-1, dims)
+        x = np.frombuffer(b"".join(group["vector"]), kind).astype(np.float64).reshape(-1, dims)
         turned = rotate(unit(x), rotation)
         ids, copies = group["rep"].to_numpy(np.int64), group["copies"].to_numpy(np.int64)
         second = group["second"].to_numpy(bool)
@@ -199,5 +177,5 @@ def dimension_links(spark: SparkSession, reps: DataFrame, dims: int, n: int, cos
         root = spanning_roots(len(x), i, j)
         return pd.DataFrame({"vec": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]]})
 
-    tiles = reps.select("rep", "copies", "embedding").mapInPandas(dealt, "block int, ax long, ay long, ai int, bx long, by long, bi int, second boolean, rep long, copies long, vector binary")
+    tiles = reps.select("rep", "copies", "embedding").mapInPandas(dealt, "block int, ax long, ai int, bx long, bi int, second boolean, rep long, copies long, vector binary")
     return tiles.groupBy(*TILE).applyInPandas(joined, "vec long, links long, root long")

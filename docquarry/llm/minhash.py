@@ -8,14 +8,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.components import components
-from docquarry.llm.shared import cut, small_batches
+from docquarry.llm.components import components, spanning_roots
+from docquarry.llm.shared import cut, prepare
 from docquarry.llm.shingles import PRIME, chunks, mix, multisets
 
 #: Five-word shingles; a weighted Jaccard similarity of 0.8 or more links two texts.
 WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares none of 24 bands of 5 values with probability 7e-5, at 0.85 with 2e-6.
 BANDS, ROWS = 24, 5
+#: Members of one side of a tile of a bucket; shingles that one matrix product takes at once.
+TILE, COLUMNS = 256, 4096
 SIGNATURE = "struct<k1:long,k2:long,weight:long,bands:array<long>>"
 
 
@@ -98,6 +100,46 @@ def overlaps(left: list[str | None], right: list[str | None], words: int = WORDS
     return out
 
 
+def tile_edges(bucket: int, reps: np.ndarray, component: np.ndarray, bands: np.ndarray, texts: list[str | None], second: np.ndarray, same: bool, similarity: float, words: int) -> np.ndarray:
+    """(edges, 2) places in a tile of a bucket that connect what is similar there, in different components.
+
+    A pair is looked at in the first of its common buckets only. Edges span what is connected; pairs stay in here.
+    """
+    n = len(reps)
+    doc, shingle, count = multisets(texts, words)
+    weight = np.bincount(doc, count, n)
+    place = int(np.argmax(bands[0] == bucket))
+    wanted = np.triu(np.ones((n, n), bool), 1) if same else np.outer(~second, second)
+    wanted &= component[:, None] != component[None, :]
+    wanted &= np.minimum.outer(weight, weight) >= similarity * np.maximum.outer(weight, weight) - 1e-9
+    for k in range(place):
+        wanted &= bands[:, k][:, None] != bands[:, k][None, :]
+    i, j = np.nonzero(wanted)
+    if not len(i):
+        return np.empty((0, 2), int)
+    # A shingle that comes k times is k columns, so that a product of 0-1 matrices adds up the lesser counts.
+    level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owner, column = np.repeat(doc, count), mix(np.repeat(shingle, count) * PRIME + level.astype(np.uint64))
+    live = np.zeros(n, bool)
+    live[i] = live[j] = True
+    owner, column = owner[live[owner]], column[live[owner]]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for low in range(0, int(column[-1]) + 1, COLUMNS):
+        at, to = np.searchsorted(column, (low, low + COLUMNS))
+        block = np.zeros((n, COLUMNS), np.float32)
+        block[owner[at:to], column[at:to] - low] = 1
+        shared += block @ block.T
+    common = shared[i, j].astype(np.float64)
+    linked = common / (weight[i] + weight[j] - common) >= similarity - 1e-12
+    i, j = i[linked], j[linked]
+    root = spanning_roots(n, i, j)
+    some = np.flatnonzero(root != np.arange(n))
+    return np.stack([some, root[some]], 1)
+
+
 def signature_udf(bands: int, rows: int, words: int):
     @F.pandas_udf(SIGNATURE)
     def signed(text: pd.Series) -> pd.DataFrame:
@@ -124,11 +166,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     are all kept or all not.
 
     Candidates come from equal bands. In each bucket the members are held against two members in turn (the smallest
-    doc_id, then one drawn by hash); buckets that still span several classes then have those pairs verified whose
-    members are in different classes and whose sizes allow the similarity. So no pair that could change a class goes
-    unverified, large groups of copies cost a few pairs a member, and no bucket is collected anywhere.
+    doc_id, then one drawn by hash); buckets that still span several classes are then dealt out in tiles of bounded size, in
+    which those pairs are verified whose members are in different classes and whose sizes allow the similarity, and only
+    the edges that connect them come out. So no pair that could change a class goes unverified, large groups of copies
+    cost a few pairs a member, and no bucket is collected anywhere.
     """
-    small_batches(spark)
+    prepare(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = base.select("doc_id", signature_udf(bands, rows, words)("text").alias("s")).select("doc_id", "s.*")
     signed = cut(signed, "signatures")
@@ -139,7 +182,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     centre = F.min(F.struct("rep", "weight")).alias("c1")
     other = F.min(F.struct(F.xxhash64("bucket", "rep").alias("h"), "rep", "weight")).alias("c2")
     several = cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), centre, other).where("n > 1"), "buckets")
-    members = cut(banded.join(several.drop("n"), "bucket"), "members")
+    members = cut(banded.join(several, "bucket"), "members")
     wanted = members.select("rep").distinct()
     texts = cut(base.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
@@ -162,13 +205,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     star = lambda df, c: df.select(F.col("rep").alias("a"), F.col("weight").alias("wa"), F.col(f"{c}.rep").alias("b"), F.col(f"{c}.weight").alias("wb"))
     links = verified(star(members, "c1"))
     links = links.union(verified(star(across(components(links)), "c2")))
-    left = cut(across(components(links)), "left")
-    step = -np.log(similarity)
-    sized = left.withColumn("size", F.floor(F.log("weight") / F.lit(float(step))))
-    one = sized.select("bucket", F.explode(F.array("size", F.col("size") + 1)).alias("size"), F.col("rep").alias("a"), F.col("weight").alias("wa"), F.col("component").alias("ca"))
-    two = sized.select("bucket", "size", F.col("rep").alias("b"), F.col("weight").alias("wb"), F.col("component").alias("cb"))
-    rest = one.join(two, ["bucket", "size"]).where((F.col("ca") != F.col("cb")) & ((F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b")))))
-    found = components(links.union(verified(rest.select("a", "wa", "b", "wb"))))
+    left = across(components(links)).select("bucket", "rep", "component", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    payload = texts.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "bands"), "rep")
+    own = F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int")
+    tiled = left.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiled = tiled.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "rep", "component")
+
+    def joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep")
+        reps = group["rep"].to_numpy(np.int64)
+        at = tile_edges(int(key[0]), reps, group["component"].to_numpy(np.int64), np.stack(group["bands"].to_numpy()), group["text"].tolist(), group["second"].to_numpy(bool), key[1] == key[2], similarity, words)
+        return pd.DataFrame({"a": reps[at[:, 0]], "b": reps[at[:, 1]]})
+
+    rest = tiled.join(payload, "rep").groupBy("bucket", "x", "y").applyInPandas(joined, "a long, b long")
+    found = components(links.union(cut(rest, "rest")))
 
     placed = classes.select(*keys, "rep", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     placed = cut(placed.select(*keys, "copies", F.coalesce("component", "rep").alias("class_id")), "classes")

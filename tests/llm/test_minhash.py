@@ -104,3 +104,19 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 150), 100), 200: 200, 201: 200}
     assert components(df.where("false")).count() == 0
+
+
+def test_large_buckets_in_small_tiles(spark, monkeypatch):
+    from docquarry.llm import minhash
+
+    monkeypatch.setattr(minhash, "TILE", 8)
+    rng = np.random.default_rng(3)
+    base = [f"t{i}" for i in rng.integers(0, 10_000, 150)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(0, 8))):
+            words[at] = f"x{k}_{at}"
+        rows.append((1000 - k, " ".join(words), "s"))
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute([(r[0], r[1]) for r in rows])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import WORD, cut, word_count
+from docquarry.llm.shared import WORD, cut, prepare, word_count
 from docquarry.llm.shingles import PRIME, mix
 
 #: Words of a block, weights of the sources in order (repeating), most passes over a source.
@@ -154,6 +154,7 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGH
     (a whole number) times their size. Null and empty texts have size 0 and taken 0; a null source is a source; an empty
     table gives no rows; rows repeated in full are separate documents. The same rows and seed give the same mix.
     """
+    prepare(spark)
     place, sizes = packed(docs, word_count(F.col("text")), [])
     plan = shares(sizes, weights, most, block)
     facts = spark.createDataFrame([(s.number, s.source, s.size, s.target) for s in plan], "number int, source string, source_size long, target double")
@@ -165,7 +166,8 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGH
     slots = slot_blocks(spark, plan, shards, seed)
     used = slots.groupBy("number", "block").agg(F.count(F.when(F.col("take").isNull(), 1)).alias("uses"), F.coalesce(F.max("take"), F.lit(0)).alias("take"))
     spans = place.where("size > 0").select("number", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
-    met = spans.join(used, ["number", "block"])
+    # Sizes of what is exploded from a local table are underestimated; without the hint all blocks could be broadcast.
+    met = spans.join(used.hint("merge"), ["number", "block"])
     low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     met = met.select("number", "start", (low - F.col("start")).alias("first"), (high - F.col("start")).alias("last"), "uses", F.greatest(F.lit(0), F.least(high, F.col("block") * block + F.col("take")) - low).cast("long").alias("part"))
     pieces = cut(met, "pieces")

@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import small_batches
+from docquarry.llm.shared import prepare
 
 #: Fixed value: how byte-level vocabularies of this family split text before merging.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -308,7 +308,7 @@ def shipped(spark: SparkSession, path: str) -> str:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """docs with ids, array<int>: each text's tokens (null: none). path: a byte-level BPE vocabulary file of the tokenizers library."""
-    small_batches(spark)
+    prepare(spark)
     return docs.withColumn("ids", encode_udf(shipped(spark, path))("text"))
 
 
@@ -318,7 +318,7 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     The ids are those of the tokenizers library without special tokens added; a special token's string in a text is that
     token. A null text is an empty one: no tokens, the digests of nothing. Rows are independent; extra columns stay, but for those of the same names.
     """
-    small_batches(spark)
+    prepare(spark)
     made = docs.withColumn("_d", digest_udf(shipped(spark, path))("text"))
     own = ("n_tokens", "ids_sha256", "decoded_sha256")
     return made.select(*[f"`{c}`" for c in docs.columns if c not in own], *[f"_d.{c}" for c in own])

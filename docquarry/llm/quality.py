@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import small_batches
+from docquarry.llm.shared import prepare
 from docquarry.llm.shingles import chunks
 
 #: Hashed vocabulary, dimensions, non-zero entries of an index vector.
@@ -205,7 +205,7 @@ def quality_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, train
     Labels of null quality or id are ignored; of an id labelled more than once the lowest label counts, of an id with several
     texts the least text. With fewer than 20 labelled texts, or one class alone, every score is the smoothed share of label 1.
     """
-    small_batches(spark)
+    prepare(spark)
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).toPandas()

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.session import ship
+
 #: What a word is in every operator: a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one Arrow batch carries to Python; texts can be long.
@@ -38,8 +40,9 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, for tables of long texts."""
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs on executors: give them this package, and bound what one Arrow batch holds, for tables of long texts."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

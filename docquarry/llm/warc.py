@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import cut, fresh_path, small_batches
+from docquarry.llm.shared import cut, fresh_path, prepare
 
 #: Bytes from which equal payloads are stored once; captures of an index block; the date of written records.
 REVISIT_BYTES, BLOCK_CAPTURES, DATE = 1000, 256, "2024-01-01T00:00:00Z"
@@ -296,7 +296,7 @@ def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) ->
     as such, and never refers or is referred to unless its payload has another row with an id. Rows repeated in full are all
     records, with equal results. An empty table gives no rows. Archives and index stay in the shared folder.
     """
-    small_batches(spark)
+    prepare(spark)
     folder = folder or fresh_path(spark, "archive")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     captures = write_archives(spark, with_revisits(base), f"{folder}/warc")

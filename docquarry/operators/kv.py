@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,19 +77,25 @@ def step(state: tuple | None, op: str, value: object, expected: int | None) -> t
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """log with status and version (after the operation, null for no key): each key's operations folded in order of seq.
+    """log with status, and version and value after the operation (null for no key): each key's operations folded in order of seq.
 
-    Only compare-and-set needs the fold; the history of one key is the unit of work.
+    Only compare-and-set needs the fold. Keys are dealt out by hash and sorted within partitions, so a task streams over its
+    keys' histories with the state of one key at a time, however long a history is.
     """
+    ship(log.sparkSession)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, state, out = group.sort_values("seq"), None, []
-        for seq, op, key, value, expected in group[["seq", "op", "key", "value", "expected_version"]].itertuples(index=False):
-            state, status = step(state, op, value, None if pd.isna(expected) else int(expected))
-            out.append((seq, key, op, status, state[1] if state else None, state[0] if state else None))
-        made = pd.DataFrame(out, columns=["seq", "key", "op", "status", "version", "value"])
-        return made.astype({"version": "Int64"})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for batch in batches:
+            out = []
+            for seq, op, key, value, expected in batch.itertuples(index=False):
+                if key != last:
+                    last, state = key, None
+                state, status = step(state, op, value, None if pd.isna(expected) else int(expected))
+                out.append((seq, key, op, status, state[1] if state else None, state[0] if state else None))
+            made = pd.DataFrame(out, columns=["seq", "key", "op", "status", "version", "value"])
+            yield made.astype({"version": "Int64"})
 
-    ship(log.sparkSession)
     kind = dict(log.dtypes)
-    return log.groupBy("key").applyInPandas(fold, f"seq long, key {kind['key']}, op string, status string, version long, value {kind['value']}")
+    ordered = log.select("seq", "op", "key", "value", "expected_version").repartition("key").sortWithinPartitions("key", "seq")
+    return ordered.mapInPandas(fold, f"seq long, key {kind['key']}, op string, status string, version long, value {kind['value']}")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Notice texts of licence families, lower case, and the cue without which a paragraph is unknown.
@@ -189,11 +189,10 @@ def text_array(values) -> str:
 
 
 def verdict_sql(paragraph: str) -> str:
-    """SQL: struct(family, probability, overlap) of a paragraph; family is the most probable label."""
+    """SQL: struct(family, probability, overlap) of a paragraph; family is the most probable label. _model: see model_column()."""
     m = model()
     words = f"filter(split(regexp_replace(regexp_replace(regexp_replace(lower({paragraph}), '[^a-z0-9.]', ' '), '[.] ', ' '), '[.]$', ''), ' +'), t -> t <> '')"
     n_gram = lambda n: f"transform(slice(sequence(0, size(w)), 1, greatest(size(w) - {n - 1}, 0)), i -> array_join(slice(w, i + 1, {n}), ' '))"
-    table = ", ".join(f"'{g}', array({', '.join(f'{v:.4f}D' for v in row)})" for g, row in zip(m.features, m.weights, strict=True))
     bias = f"array({', '.join(f'{v:.4f}D' for v in m.bias)})"
     shingles = lambda t: grams3(tokens(t))
     overlaps = ", ".join(
@@ -201,8 +200,8 @@ def verdict_sql(paragraph: str) -> str:
     )
     # Bindings are one-element arrays, so that each value is computed once.
     bind = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
-    hits = f"array_intersect(g, map_keys(map({table})))"
-    logits = f"transform(aggregate(hits, {bias.replace('D', 'D * 0')}, (acc, f) -> zip_with(acc, element_at(map({table}), f), (a, b) -> a + b)), (s, k) -> (s / sqrt(double(greatest(1, size(g)))) + element_at({bias}, k + 1)) / {m.temperature:.4f}D)"
+    hits = "array_intersect(g, map_keys(_model))"
+    logits = f"transform(aggregate(hits, {bias.replace('D', 'D * 0')}, (acc, f) -> zip_with(acc, element_at(_model, f), (a, b) -> a + b)), (s, k) -> (s / sqrt(double(greatest(1, size(g)))) + element_at({bias}, k + 1)) / {m.temperature:.4f}D)"
     best = "array_position(z, array_max(z))"
     probability = "1 / aggregate(z, 0D, (acc, v) -> acc + exp(v - array_max(z)))"
     out = f"named_struct('family', element_at({text_array(LABELS)}, int({best})), 'probability', {probability}, 'overlap', element_at(array({overlaps}, 0D), int({best})))"
@@ -216,6 +215,13 @@ def grams3(words: list[str]) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + 3]) for i in range(len(words) - 2)))
 
 
+def model_column(spark: SparkSession) -> Column:
+    """The model's weights as one value: n-gram -> weight by label. Of fixed size, whatever the input."""
+    m = model()
+    row = [(list(m.features), m.weights.tolist())]
+    return spark.createDataFrame(row, "f array<string>, w array<array<double>>").select(F.map_from_arrays("f", "w").alias("m")).scalar()
+
+
 def has_cue(text: Column) -> Column:
     low = F.lower(text)
     found = F.lit(False)
@@ -235,11 +241,11 @@ def scan_licenses(docs: DataFrame, probability: float = PROBABILITY, overlap: fl
     """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda p: F.trim(F.translate(p, "\t\r\x0b\x0c", "    ")) != "")
     cued = F.when(has_cue(F.col("text")), F.filter(F.transform(lines, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: has_cue(s["p"])))
-    out = docs.withColumns({"n_paragraphs": F.size(lines).cast("long"), "_cued": F.coalesce(cued, F.expr("cast(array() as array<struct<p:string,i:int>>)"))})
+    out = docs.withColumns({"n_paragraphs": F.size(lines).cast("long"), "_model": model_column(docs.sparkSession), "_cued": F.coalesce(cued, F.expr("cast(array() as array<struct<p:string,i:int>>)"))})
     judged = f"transform(_cued, s -> named_struct('v', {verdict_sql('s.p')}, 'i', s.i))"
     judged = f"if(size(_cued) = 0, cast(array() as array<struct<v:struct<family:string,probability:double,overlap:double>,i:int>>), {judged})"
     kept = f"filter({judged}, s -> s.v.family <> '{UNKNOWN}' and s.v.probability >= {probability} and s.v.overlap >= {overlap})"
     out = out.withColumn("notices", F.expr(f"transform({kept}, s -> named_struct('family', s.v.family, 'probability', s.v.probability, 'overlap', s.v.overlap, 'paragraph', s.i))"))
     first = F.expr("aggregate(notices, cast(null as struct<family:string,probability:double,overlap:double,paragraph:int>), (a, s) -> if(a is null or s.probability > a.probability, s, a))")
     out = out.withColumn("n_unknown", F.col("n_paragraphs") - F.size("notices")).withColumn("_first", first)
-    return out.withColumn("family", F.col("_first.family")).withColumn("probability", F.col("_first.probability")).drop("_cued", "_first")
+    return out.withColumn("family", F.col("_first.family")).withColumn("probability", F.col("_first.probability")).drop("_cued", "_first", "_model")

@@ -22,7 +22,9 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 GAP = regex.compile(r"\S\s")
 ODD = regex.compile(r"\s ")
 #: Characters of a slice, bytes that a merge window settles at once, remembered words.
-SLICE, WINDOW, MEMO = 1 << 16, 4096, 200_000
+SLICE, WINDOW, MEMO = 1 << 16, 4096, 300_000
+#: Above every rank; and letters below which words are split without a pattern.
+NEVER, PLAIN = 1 << 30, "\u0250"
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,12 +45,16 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.token_bytes = {i: b for b, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Pair of ids -> rank, and rank -> id of what the pair becomes.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.results: list[int] = []
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         encoded = [tuple(bytes(letters[c] for c in side) for side in pair) for pair in pairs]
         for rank, (a, b) in enumerate(encoded):
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.ranks[ids[a], ids[b]] = rank
+            self.results.append(ids[a + b])
         self.lookahead = sufficient_lookahead(encoded)
+        self.bytes_of = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
 
@@ -70,53 +76,76 @@ def sufficient_lookahead(merges: Sequence[tuple[bytes, bytes]]) -> int:
     return max([1, *reach.values(), *formed.values()])
 
 
+class Memo:
+    """What was found for a key, in two generations: when the young one is full, it becomes the old one, and the old one goes.
+    Keys that come again move back to the young one, so frequent ones stay."""
+
+    def __init__(self, most: int = MEMO):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def put(self, key, value):
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+
 class Encoder:
     """Text in pieces of any size -> tokens, each as soon as no further text can change it.
 
-    Memory is bounded by SLICE + WINDOW + lookahead characters and the memo, whatever the text's length: text is taken
+    Memory is bounded by SLICE + WINDOW + lookahead characters and the memos, whatever the text's length: text is taken
     up to the last start of white space (where a split always falls), and within a run that has none, up to the last
     token that is `lookahead` bytes from the end.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.left = vocabulary, ""
-        self.memo: dict[str, tuple[int, str, tuple[int, ...]]] = {}
-        self.spaced: dict[str, tuple[int, str, tuple[int, ...]]] = {}
+        #: Split words, what stands between two spaces, and split words as bare ids.
+        self.memo, self.spaced, self.words = Memo(MEMO // 4), Memo(), Memo(MEMO // 2)
         self.longest_special = max(map(len, vocabulary.special), default=0)
 
     def merged(self, data: bytes) -> list[int]:
-        """The tokens of one split word: merges by rank, the leftmost first, over a heap of neighbours."""
-        ids: list[int] = [self.v.byte_ids[b] for b in data]
-        n = len(ids)
-        merges = self.v.merges
-        if n < 24:
-            while n > 1:
-                best, at = None, -1
-                for i in range(n - 1):
-                    m = merges.get((ids[i], ids[i + 1]))
-                    if m is not None and (best is None or m[0] < best[0]):
-                        best, at = m, i
-                if best is None:
+        """The tokens of one split word: merges by rank, the leftmost first."""
+        byte_ids, ranks, results = self.v.byte_ids, self.v.ranks, self.v.results
+        ids = [byte_ids[b] for b in data]
+        if len(ids) < 64:
+            waiting = [ranks.get(pair, NEVER) for pair in zip(ids, ids[1:], strict=False)]
+            while waiting:
+                rank = min(waiting)
+                if rank == NEVER:
                     break
-                ids[at : at + 2] = [best[1]]
-                n -= 1
+                i = waiting.index(rank)
+                ids[i] = results[rank]
+                del ids[i + 1], waiting[i]
+                if i < len(waiting):
+                    waiting[i] = ranks.get((ids[i], ids[i + 1]), NEVER)
+                if i:
+                    waiting[i - 1] = ranks.get((ids[i - 1], ids[i]), NEVER)
             return ids
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1]))) is not None]
+        n = len(ids)
+        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
+        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := ranks.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
-        gone = [False] * n
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if gone[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i] = merges[a, b][1]
+            ids[i] = results[rank]
             gone[j], after[i] = True, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n and (m := merges.get((ids[left], ids[right]))) is not None:
-                    heapq.heappush(heap, (m[0], left, ids[left], ids[right]))
+                if left >= 0 and right < n and (rank := ranks.get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (rank, left, ids[left], ids[right]))
         return [t for t, x in zip(ids, gone, strict=True) if not x]
 
     def word(self, data: bytes) -> Iterator[int]:
@@ -134,30 +163,44 @@ class Encoder:
             at += end
         yield from self.merged(data[at:])
 
+    def split(self, text: str) -> list[str]:
+        """The split words of a piece of text. Words of Latin letters, perhaps with a sign behind them, need no pattern."""
+        body = text[1:] if text[:1] == " " else text
+        if body.isalpha() and max(body) < PLAIN:
+            return [text]
+        if body[-1:] in ",.!?;:" and body[:-1].isalpha() and max(body) < PLAIN:
+            return [text[:-1], text[-1]]
+        return SPLIT.findall(text)
+
+    def ids(self, word: str) -> tuple[int, ...]:
+        if len(word) >= 64:
+            return tuple(self.word(word.encode("utf-8", "surrogatepass")))
+        got = self.words.get(word)
+        return got if got is not None else self.words.put(word, tuple(self.merged(word.encode("utf-8", "surrogatepass"))))
+
     def piece(self, text: str) -> tuple[int, str, tuple[int, ...]]:
-        ids = tuple(chain.from_iterable(self.word(m.encode("utf-8", "surrogatepass")) for m in SPLIT.findall(text)))
+        ids = tuple(chain.from_iterable(map(self.ids, self.split(text))))
         return len(ids), ",".join(map(str, ids)), ids
 
-    def remembered(self, memo: dict, key: str, text: str) -> tuple[int, str, tuple[int, ...]]:
-        got = self.piece(text)
-        if len(text) < 64:
-            if len(memo) >= MEMO:
-                memo.clear()
-            memo[key] = got
+    def remembered(self, memo: Memo, key: str, text: str) -> tuple[int, str, tuple[int, ...]]:
+        got = memo.get(key)
+        if got is None:
+            got = self.piece(text)
+            if len(text) < 64:
+                memo.put(key, got)
         return got
 
     def stretch(self, text: str) -> list[tuple[int, str, tuple[int, ...]]]:
         """The pieces of text that begins and ends at split places and holds no special string."""
         if ODD.search(text):
             # Runs of white space before a space: find the splits over the whole stretch.
-            return [self.memo.get(w) or self.remembered(self.memo, w, w) if not w.isspace() else self.single(w) for w in SPLIT.findall(text)]
+            return [self.single(w) if w.isspace() else self.remembered(self.memo, w, w) for w in SPLIT.findall(text)]
         first, *rest = text.split(" ")
-        spaced = self.spaced
-        out = [self.memo.get(first) or self.remembered(self.memo, first, first)] if first else []
-        for w in rest:
-            got = spaced.get(w)
-            out.append(got if got is not None else self.remembered(spaced, w, " " + w))
-        return out
+        out = [self.remembered(self.memo, first, first)] if first else []
+        found = list(map(self.spaced.young.get, rest))
+        if None in found:
+            found = [self.remembered(self.spaced, w, " " + w) if got is None else got for got, w in zip(found, rest, strict=True)]
+        return out + found
 
     def single(self, word: str) -> tuple[int, str, tuple[int, ...]]:
         ids = tuple(self.word(word.encode("utf-8", "surrogatepass")))
@@ -206,8 +249,7 @@ class Encoder:
         for w in words[:-4]:
             if at + len(w) > end:
                 break
-            got = self.memo.get(w)
-            out.append(got if got is not None else self.remembered(self.memo, w, w) if not w.isspace() else self.single(w))
+            out.append(self.single(w) if w.isspace() else self.remembered(self.memo, w, w))
             at += len(w)
         if out:
             self.left = self.left[at:]
@@ -235,7 +277,7 @@ class Decoder:
     """Token ids in pieces of any size -> text: bytes that end within a character wait for the next ones; ill-formed ones become U+FFFD."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.bytes_of = vocabulary.token_bytes.__getitem__
+        self.bytes_of = vocabulary.bytes_of.__getitem__
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
@@ -270,7 +312,6 @@ def round_trip(vocabulary: Vocabulary, encoder: Encoder, text: str) -> tuple[int
     starts = range(0, len(text), SLICE)
     for k in range(len(starts) + 1):
         pieces = encoder.feed(text[starts[k] : starts[k] + SLICE]) if k < len(starts) else encoder.finish()
-        pieces = [p for p in pieces if p[0]]
         if pieces:
             ids_hash.update((("," if n else "") + ",".join([p[1] for p in pieces])).encode())
             n += sum([p[0] for p in pieces])

@@ -11,13 +11,9 @@ from docquarry.llm.shared import cut
 MIN_SITES, LOG_K, NEAR = 10, 12, 0.1
 
 
-def line_key(line: Column) -> Column:
-    """A line's identity: its hash without the white space around it."""
-    return F.xxhash64(F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")))
-
-
-def has_word(line: Column) -> Column:
-    return F.length(F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))) > 0
+def bare(line: Column) -> Column:
+    """A line without the white space around it."""
+    return F.btrim(line, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -29,12 +25,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     with another text are told apart by text. Extra columns stay; an empty table gives no rows.
 
     HyperLogLog sketches of each line's sources are merged by hash aggregation; lines whose estimate is within NEAR of the
-    threshold get an exact distinct count, so the verdicts are exact up to a sketch error far beyond its bounds. Only
-    hashes and places are shuffled by line; the text moves once, to the places that it loses.
+    threshold get an exact distinct count, so the verdicts are exact up to a sketch error far beyond its bounds. Texts are
+    split once, into a table of hashes and places that is shuffled by line; the text moves once, to the places that it loses.
     """
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    lines = keyed.select("doc_id", "_hash", "source", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(has_word(F.col("line")))
-    lines = lines.select("doc_id", "_hash", "source", "at", line_key(F.col("line")).alias("key"))
+    lines = keyed.select("doc_id", "_hash", "source", F.posexplode(F.transform(F.split("text", "\n", -1), bare)).alias("at", "line")).where("line <> ''")
+    lines = cut(lines.select("doc_id", "_hash", "source", "at", F.xxhash64("line").alias("key")), "lines")
     spread = lines.groupBy("key").agg(F.hll_sketch_agg("source", F.lit(LOG_K)).alias("sketch"), F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     spread = spread.where(F.col("n") >= min_sites).select("key", "keeper", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = cut(spread.where(F.col("sites") >= min_sites * (1 - NEAR)), "spread")
@@ -56,7 +52,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with their texts cleaned (n_chars follows, if there); documents go that lose every line with a word."""
     out = dedup_lines(docs, min_sites)
-    stays = (F.col("n_removed") == 0) | has_word(F.translate("clean", "\n", " "))
+    stays = (F.col("n_removed") == 0) | (bare(F.col("clean")) != "")
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return out.where(stays).select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
@@ -66,7 +62,7 @@ LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS place
   FROM documents WHERE text IS NOT NULL),
-trimmed AS (SELECT doc_id, source, place, raw, trim(translate(raw, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ') AS line FROM lines),
+trimmed AS (SELECT doc_id, source, place, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM lines),
 spread AS (SELECT line, min(doc_id) AS keeper FROM trimmed WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
 marked AS (SELECT t.doc_id, t.place, t.raw, s.keeper IS NOT NULL AND t.doc_id <> s.keeper AS gone FROM trimmed t LEFT JOIN spread s ON t.line = s.line)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,

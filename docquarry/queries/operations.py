@@ -9,17 +9,16 @@ from docquarry.operators import monitor, security
 from docquarry.queries.base import query, table
 from docquarry.streaming import changelog, pubsub
 
-# Messages: an event is a message on the channel <type>.<user modulo 7>; users below 20 subscribe.
+# Messages: an event is a message on the channel <type>.<user>; suppliers subscribe to the clicks of the user of their number.
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    channel = F.concat("event_type", F.lit("."), F.col("user_id") % 7)
+    channel = F.concat("event_type", F.lit("."), F.col("user_id"))
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), channel.alias("channel"), F.col("props").alias("payload"))
 
 
 def subs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("subscriber_id"))
-    return users.select("subscriber_id", F.concat(F.lit("click."), F.col("subscriber_id") % 7).alias("channel"))
+    return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100).alias("subscriber_id"), F.concat(F.lit("click."), F.col("s_suppkey")).alias("channel"))
 
 
 PATTERNS = [(1, "click.*"), (2, "*.3"), (3, "p*.?"), (3, "p*.?"), (4, "view.1"), (5, "nothing*"), (6, "*")]
@@ -29,8 +28,8 @@ def patterns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PATTERNS, "subscriber_id long, pattern string")
 
 
-MSG = "(SELECT event_id AS id, event_type || '.' || (user_id % 7) AS channel, props AS payload FROM events)"
-SUB = "(SELECT c_custkey AS subscriber_id, 'click.' || (c_custkey % 7) AS channel FROM customer WHERE c_custkey <= 20)"
+MSG = "(SELECT event_id AS id, event_type || '.' || user_id AS channel, props AS payload FROM events)"
+SUB = "(SELECT s_suppkey + 100 AS subscriber_id, 'click.' || s_suppkey AS channel FROM supplier)"
 PAT = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in PATTERNS) + ") t(subscriber_id, pattern))"
 EXACT_SQL = f"SELECT m.id, m.channel, CAST(s.subscriber_id AS BIGINT) AS subscriber_id FROM {MSG} m JOIN {SUB} s ON m.channel = s.channel"
 PATTERN_SQL = f"SELECT m.id, m.channel, CAST(p.subscriber_id AS BIGINT) AS subscriber_id FROM {MSG} m JOIN {PAT} p ON regexp_matches(m.channel, '^' || replace(replace(p.pattern, '*', '.*'), '?', '.') || '$')"

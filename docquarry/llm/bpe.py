@@ -15,6 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm.memos import Memo, only, register
 from docquarry.llm.shared import prepare
 
 #: Fixed value: how byte-level vocabularies of this family split text before merging.
@@ -22,7 +23,7 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 GAP = regex.compile(r"\S\s")
 ODD = regex.compile(r"\s ")
 #: Characters of a slice, bytes that a merge window settles at once, remembered words.
-SLICE, WINDOW, MEMO = 1 << 16, 4096, 300_000
+SLICE, WINDOW, MEMO = 1 << 16, 4096, 200_000
 #: Above every rank; and letters below which words are split without a pattern.
 NEVER, PLAIN = 1 << 30, "\u0250"
 
@@ -54,6 +55,8 @@ class Vocabulary:
             self.ranks[ids[a], ids[b]] = rank
             self.results.append(ids[a + b])
         self.lookahead = sufficient_lookahead(encoded)
+        #: By id: a token's bytes, and the id as text.
+        self.names = [str(i) for i in range(max(self.token_bytes) + 1)]
         self.bytes_of = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -76,28 +79,6 @@ def sufficient_lookahead(merges: Sequence[tuple[bytes, bytes]]) -> int:
     return max([1, *reach.values(), *formed.values()])
 
 
-class Memo:
-    """What was found for a key, in two generations: when the young one is full, it becomes the old one, and the old one goes.
-    Keys that come again move back to the young one, so frequent ones stay."""
-
-    def __init__(self, most: int = MEMO):
-        self.young: dict = {}
-        self.old: dict = {}
-        self.most = most
-
-    def put(self, key, value):
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-        return value
-
-    def get(self, key):
-        got = self.young.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-
 class Encoder:
     """Text in pieces of any size -> tokens, each as soon as no further text can change it.
 
@@ -108,8 +89,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.left = vocabulary, ""
-        #: Split words, what stands between two spaces, and split words as bare ids.
-        self.memo, self.spaced, self.words = Memo(MEMO // 4), Memo(), Memo(MEMO // 2)
+        #: Stretches, what stands behind a space, and split words, each with its ids.
+        self.memo, self.spaced, self.words = Memo(MEMO // 4), Memo(MEMO), Memo(MEMO // 2)
         self.longest_special = max(map(len, vocabulary.special), default=0)
 
     def merged(self, data: bytes) -> list[int]:
@@ -178,11 +159,10 @@ class Encoder:
         got = self.words.get(word)
         return got if got is not None else self.words.put(word, tuple(self.merged(word.encode("utf-8", "surrogatepass"))))
 
-    def piece(self, text: str) -> tuple[int, str, tuple[int, ...]]:
-        ids = tuple(chain.from_iterable(map(self.ids, self.split(text))))
-        return len(ids), ",".join(map(str, ids)), ids
+    def piece(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.ids, self.split(text))))
 
-    def remembered(self, memo: Memo, key: str, text: str) -> tuple[int, str, tuple[int, ...]]:
+    def remembered(self, memo: Memo, key: str, text: str) -> tuple[int, ...]:
         got = memo.get(key)
         if got is None:
             got = self.piece(text)
@@ -190,11 +170,11 @@ class Encoder:
                 memo.put(key, got)
         return got
 
-    def stretch(self, text: str) -> list[tuple[int, str, tuple[int, ...]]]:
-        """The pieces of text that begins and ends at split places and holds no special string."""
+    def stretch(self, text: str) -> list[tuple[int, ...]]:
+        """The ids of the pieces of text that begins and ends at split places and holds no special string."""
         if ODD.search(text):
             # Runs of white space before a space: find the splits over the whole stretch.
-            return [self.single(w) if w.isspace() else self.remembered(self.memo, w, w) for w in SPLIT.findall(text)]
+            return list(map(self.ids, SPLIT.findall(text)))
         first, *rest = text.split(" ")
         out = [self.remembered(self.memo, first, first)] if first else []
         found = list(map(self.spaced.young.get, rest))
@@ -202,24 +182,19 @@ class Encoder:
             found = [self.remembered(self.spaced, w, " " + w) if got is None else got for got, w in zip(found, rest, strict=True)]
         return out + found
 
-    def single(self, word: str) -> tuple[int, str, tuple[int, ...]]:
-        ids = tuple(self.word(word.encode("utf-8", "surrogatepass")))
-        return len(ids), ",".join(map(str, ids)), ids
-
-    def settled(self, text: str) -> list[tuple[int, str, tuple[int, ...]]]:
+    def settled(self, text: str) -> list[tuple[int, ...]]:
         if not self.v.special or not any(s in text for s in self.v.special):
             return self.stretch(text)
         out = []
         for part in self.v.special_split.split(text):
             if part in self.v.special:
-                i = self.v.special[part]
-                out.append((1, str(i), (i,)))
+                out.append((self.v.special[part],))
             elif part:
                 out += self.stretch(part)
         return out
 
-    def feed(self, text: str) -> list[tuple[int, str, tuple[int, ...]]]:
-        """Pieces (number, ids joined by commas, ids) that are settled once text has come."""
+    def feed(self, text: str) -> list[tuple[int, ...]]:
+        """The ids, in pieces, that are settled once text has come."""
         self.left += text
         out = []
         while len(self.left) > SLICE:
@@ -236,7 +211,7 @@ class Encoder:
             out += some
         return out
 
-    def unbroken(self) -> list[tuple[int, str, tuple[int, ...]]]:
+    def unbroken(self) -> list[tuple[int, ...]]:
         """Settle the head of a stretch without a gap: words that four others follow, else the stable tokens of a long word."""
         end = len(self.left) - self.longest_special - 16
         if self.v.special and (m := self.v.special_split.search(self.left)):
@@ -249,7 +224,7 @@ class Encoder:
         for w in words[:-4]:
             if at + len(w) > end:
                 break
-            out.append(self.single(w) if w.isspace() else self.remembered(self.memo, w, w))
+            out.append(self.ids(w))
             at += len(w)
         if out:
             self.left = self.left[at:]
@@ -266,9 +241,9 @@ class Encoder:
             if whole[size] & 0xC0 != 0x80 and whole[size] != 0x27:
                 best = (len(ids), size)
         self.left = self.left[len(data[: best[1]].decode("utf-8", "surrogatepass")) :]
-        return [(best[0], ",".join(map(str, ids[: best[0]])), tuple(ids[: best[0]]))] if best[0] else []
+        return [tuple(ids[: best[0]])] if best[0] else []
 
-    def finish(self) -> list[tuple[int, str, tuple[int, ...]]]:
+    def finish(self) -> list[tuple[int, ...]]:
         text, self.left = self.left, ""
         return self.settled(text) if text else []
 
@@ -296,14 +271,24 @@ def loaded(path: str) -> tuple[Vocabulary, Encoder]:
     if path not in _LOADED:
         vocabulary = Vocabulary(path)
         _LOADED[path] = (vocabulary, Encoder(vocabulary))
+    only("bpe")
     return _LOADED[path]
 
 
+def forget() -> None:
+    for _, encoder in _LOADED.values():
+        for memo in (encoder.memo, encoder.spaced, encoder.words):
+            memo.clear()
+
+
+register("bpe", forget)
+
+
 def encode(path: str, text: str | None) -> list[int]:
     _, encoder = loaded(path)
     text = text or ""
     pieces = [p for at in range(0, len(text), SLICE) for p in encoder.feed(text[at : at + SLICE])] + encoder.finish()
-    return list(chain.from_iterable(p[2] for p in pieces))
+    return list(chain.from_iterable(pieces))
 
 
 def round_trip(vocabulary: Vocabulary, encoder: Encoder, text: str) -> tuple[int, str, str]:
@@ -312,10 +297,11 @@ def round_trip(vocabulary: Vocabulary, encoder: Encoder, text: str) -> tuple[int
     starts = range(0, len(text), SLICE)
     for k in range(len(starts) + 1):
         pieces = encoder.feed(text[starts[k] : starts[k] + SLICE]) if k < len(starts) else encoder.finish()
-        if pieces:
-            ids_hash.update((("," if n else "") + ",".join([p[1] for p in pieces])).encode())
-            n += sum([p[0] for p in pieces])
-            text_hash.update(decoder.feed(chain.from_iterable([p[2] for p in pieces])).encode("utf-8", "surrogatepass"))
+        ids = list(chain.from_iterable(pieces))
+        if ids:
+            ids_hash.update((("," if n else "") + ",".join(map(vocabulary.names.__getitem__, ids))).encode())
+            n += len(ids)
+            text_hash.update(decoder.feed(ids).encode("utf-8", "surrogatepass"))
     text_hash.update(decoder.finish().encode("utf-8", "surrogatepass"))
     return n, ids_hash.hexdigest(), text_hash.hexdigest()
 

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm.memos import only, register
 from docquarry.llm.shared import prepare
 from docquarry.llm.shingles import chunks
 
@@ -19,31 +20,42 @@ BUCKETS, DIMS, NONZERO = 8192, 48, 4
 #: Most labelled rows that the network is fitted on (the lowest by hash), a documented bound.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
-MEMO = 400_000
+MEMO = 150_000
 UPPER, LOWER, DIGIT = (np.zeros(256, bool) for _ in range(3))
 UPPER[65:91] = LOWER[97:123] = DIGIT[48:58] = True
 
 
+def shape_of(word: str) -> str:
+    """A word's classes of characters with runs cut to one, as Aa. or A! or #: a coarse second word."""
+    body = word.rstrip(".,!?#*$%&|")
+    if body.isalpha():
+        start = "a" if body.islower() else "A" if body.isupper() else "Aa" if body[0].isupper() and body[1:].islower() else ""
+        if start:
+            return start + "".join(c for c, before in zip(word[len(body) :], word[len(body) - 1 :], strict=False) if c != before)[: 12 - len(start)]
+    shape, last = [], ""
+    for ch in word:
+        kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
+        if kind != last:
+            shape.append(kind)
+        last = kind
+    return "".join(shape[:12])
+
+
 class Buckets(dict):
     """word (UTF-8) -> (bucket of the word, bucket of its shape) as one integer."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        # The shape: classes of characters with runs cut to one, as Aa. or A!! or ### - a coarse second word.
-        shape, last = [], ""
-        for ch in word.decode("utf-8", "replace"):
-            kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
-            if kind != last:
-                shape.append(kind)
-            last = kind
         own = xxhash.xxh64_intdigest(word) % (BUCKETS // 2)
-        value = own * BUCKETS + BUCKETS // 2 + xxhash.xxh64_intdigest("".join(shape[:12]).encode("utf-8", "replace")) % (BUCKETS // 2)
+        shape = shape_of(word.decode("utf-8", "replace")).encode("utf-8", "replace")
+        value = own * BUCKETS + BUCKETS // 2 + xxhash.xxh64_intdigest(shape) % (BUCKETS // 2)
         self[word] = value
         return value
 
 
 SEEN = Buckets()
+register("quality", SEEN.clear)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +66,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def word_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of words and of shapes, concatenated, and the number of words of each text."""
+    only("quality")
     split = [t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else [] for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     both = np.empty(int(sizes.sum()), np.int64)

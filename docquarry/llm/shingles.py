@@ -7,9 +7,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import xxhash
 
+from docquarry.llm.memos import only, register
+
 #: Characters of text that are held as words at once.
 CHUNK_CHARS = 2_000_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 MASK48 = np.uint64((1 << 48) - 1)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,6 +28,7 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+register("shingles", HASHES.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,6 +58,7 @@ def multisets(texts: Sequence[str | None], words: int) -> tuple[np.ndarray, np.n
     an empty or null text has none. Shingles are 48-bit hashes (within two texts of 20,000 words a chance of 1e-6 that
     any two collide). Words are split at ASCII white space.
     """
+    only("shingles")
     split = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     h = np.empty(int(sizes.sum()), np.uint64)

@@ -196,8 +196,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
         return cut(scored.where(F.col("j") >= similarity - 1e-12).select("a", "b"), "links")
 
     def across(found: DataFrame) -> DataFrame:
-        """The members of buckets that span several classes, with their class."""
-        placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        """The members of buckets that span several classes, with their class. Of two members, the pair is known by then."""
+        placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
         placed = cut(placed.withColumn("component", F.coalesce("component", "rep")), "placed")
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         return placed.join(cut(mixed.where("lo <> hi").select("bucket"), "mixed"), "bucket")
@@ -205,7 +205,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     star = lambda df, c: df.select(F.col("rep").alias("a"), F.col("weight").alias("wa"), F.col(f"{c}.rep").alias("b"), F.col(f"{c}.weight").alias("wb"))
     links = verified(star(members, "c1"))
     links = links.union(verified(star(across(components(links)), "c2")))
-    left = across(components(links)).select("bucket", "rep", "component", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    # The two that all members have been held against are done, and so are buckets with one more member.
+    pivots = F.when(F.col("c1.rep") == F.col("c2.rep"), 1).otherwise(2)
+    left = across(components(links)).where((F.col("n") - pivots > 1) & (F.col("rep") != F.col("c1.rep")) & (F.col("rep") != F.col("c2.rep")))
+    left = left.select("bucket", "rep", "component", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
     payload = texts.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "bands"), "rep")
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int")
     tiled = left.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -20,7 +20,7 @@ BUCKETS, DIMS, NONZERO = 8192, 48, 4
 #: Most labelled rows that the network is fitted on (the lowest by hash), a documented bound.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
-MEMO = 150_000
+MEMO = 300_000
 UPPER, LOWER, DIGIT = (np.zeros(256, bool) for _ in range(3))
 UPPER[65:91] = LOWER[97:123] = DIGIT[48:58] = True
 

@@ -163,7 +163,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     similarity of at least `similarity` link, and class_id is the smallest doc_id reachable by links (itself included).
     kept: doc_id is class_id. copies: rows with the same multiset. Texts without words, null texts and rows without a
     doc_id link with nothing: their class is their own doc_id, and they are kept. Rows that share a doc_id and a text
-    are all kept or all not.
+    are all kept or all not; of an id with several texts, the least one is what pairs are verified with. An empty table gives
+    no rows.
 
     Candidates come from equal bands. In each bucket the members are held against two members in turn (the smallest
     doc_id, then one drawn by hash); buckets that still span several classes are then dealt out in tiles of bounded size, in

@@ -186,7 +186,7 @@ def mix_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
     A document that a pass takes whole keeps its text as it stands; of another, the words taken (each with the white space
     after it) follow one another. n_chars, if there, is the new text's length. Documents of which nothing is taken go.
-    Columns are those of docs.
+    Columns are those of docs; an empty table, or one without words, gives no rows.
     """
     out, pieces = mixed(spark, docs, **options)
     runs = pieces.select("number", "start", F.explode(F.expr("transform(sequence(1, uses + 1), p -> struct(int(p) as pass, first, if(p <= uses, last, first + part) as last))")).alias("r"))

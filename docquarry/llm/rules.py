@@ -9,8 +9,6 @@ from docquarry.llm.shared import WORD, cut
 
 #: Hash buckets of words and word pairs, smoothing count, least mean log-likelihood ratio of a kept document.
 BUCKETS, SMOOTHING, LEAST_RATIO = 10_000, 1.0, -0.07
-#: Trusted documents that the target is counted on, a documented bound: the lowest of them by hash.
-TRUSTED_ROWS = 20_000
 MIN_WORDS, MOST_REPEATED = 50, 50
 FEW = 32
 SPACE = " \\t\\n\\u000B\\u000C\\r"
@@ -51,11 +49,11 @@ def features(text: str = "text") -> F.Column:
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row, w: the log-likelihood ratio of each bucket between the multinomial of trusted documents (up to TRUSTED_ROWS
-    doc_ids of trusted, the lowest by hash) and that of all documents, whole texts, with SMOOTHING added to each count.
-    Without a trusted text: zeros. The trusted ids are broadcast, so that no text is shuffled."""
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
-    flagged = docs.select("doc_id", "text").join(F.broadcast(cut(ids, "trusted").withColumn("_t", F.lit(1))), "doc_id", "left")
+    """One row, w: the log-likelihood ratio of each bucket between the multinomial of the documents whose doc_id is in trusted
+    and that of all documents, both over every text, with SMOOTHING added to each count. Without a trusted text: zeros.
+    Ids and texts always meet by a shuffle, whatever their number: a broadcast of ids would grow with the table."""
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("_t", F.lit(1))
+    flagged = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left")
     seen = flagged.select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode(features()).alias("bucket"))
     counts = cut(seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")), "counts")
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])

@@ -65,3 +65,14 @@ def test_odd_rows(spark):
         assert tuple(r[c] for c in COLUMNS) == brute(texts[r.doc_id]), r.doc_id
         assert r.ratio == 0
     assert rules.judge(spark, docs.where("false"), docs).count() == 0
+
+
+def test_target_counts_every_trusted_document(spark):
+    docs = spark.range(30_000).selectExpr("id as doc_id", "concat('w', id % 3) as text")
+    trusted = docs.where("doc_id < 25000 and doc_id % 3 < 2")
+    a, b = rules.SMOOTHING, rules.BUCKETS
+    target = [8334, 8333, 0]
+    want = [math.log((t + a) / (16_667 + a * b)) - math.log((10_000 + a) / (30_000 + a * b)) for t in target]
+    for r in rules.judge(spark, docs, trusted).where("doc_id < 3").collect():
+        assert r.ratio == pytest.approx(want[r.doc_id], abs=1e-9)
+    assert {r.ratio for r in rules.judge(spark, docs, docs).select("ratio").distinct().collect()} == {0.0}

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Notice texts of licence families, lower case, and the cue without which a paragraph is unknown.
+#: Notice texts of licence families, lower case.
 TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license version 2.0",
@@ -79,8 +79,7 @@ TEMPLATES = {
         "confidential and proprietary unauthorized copying of this file is strictly prohibited copyright all rights reserved",
     ],
 }
-CUES = ("licen", "copyright", "permission", "warrant", "redistribut", "spdx", "public domain", "rights reserved", "mpl")
-#: Paragraphs with cues that are no notices; what an unknown paragraph looks like.
+#: Paragraphs with words of notices that are none; what an unknown paragraph looks like.
 OTHERS = [
     "the driver must carry a valid license at all times and show it to the police",
     "she asked for permission to leave the room before the end of the meeting",
@@ -188,10 +187,22 @@ def text_array(values) -> str:
     return "array(" + ", ".join("'" + v + "'" for v in values) + ")"
 
 
-def verdict_sql(paragraph: str) -> str:
-    """SQL: struct(family, probability, overlap) of a paragraph; family is the most probable label. _model: see model_column()."""
+def words_sql(paragraph: str) -> str:
+    """SQL: the words of a paragraph, as tokens() has them."""
+    return f"filter(split(regexp_replace(regexp_replace(regexp_replace(lower({paragraph}), '[^a-z0-9.]', ' '), '[.] ', ' '), '[.]$', ''), ' +'), t -> t <> '')"
+
+
+def shares_sql(words: str) -> str:
+    """SQL: whether words have a three-word shingle of any template. Without one the overlap is 0 whatever the family."""
+    known = sorted({g for ts in TEMPLATES.values() for t in ts for g in grams3(tokens(t))})
+    firsts = sorted({g.split()[0] for g in known})
+    listed = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+    return f"size(filter({words}, (t, i) -> t in {listed(firsts)} and concat_ws(' ', t, get({words}, i + 1), get({words}, i + 2)) in {listed(known)})) > 0"
+
+
+def verdict_sql(words: str) -> str:
+    """SQL: struct(family, probability, overlap) of a paragraph's words; family is the most probable label. _model: see model_column()."""
     m = model()
-    words = f"filter(split(regexp_replace(regexp_replace(regexp_replace(lower({paragraph}), '[^a-z0-9.]', ' '), '[.] ', ' '), '[.]$', ''), ' +'), t -> t <> '')"
     n_gram = lambda n: f"transform(slice(sequence(0, size(w)), 1, greatest(size(w) - {n - 1}, 0)), i -> array_join(slice(w, i + 1, {n}), ' '))"
     bias = f"array({', '.join(f'{v:.4f}D' for v in m.bias)})"
     shingles = lambda t: grams3(tokens(t))
@@ -222,30 +233,23 @@ def model_column(spark: SparkSession) -> Column:
     return spark.createDataFrame(row, "f array<string>, w array<array<double>>").select(F.map_from_arrays("f", "w").alias("m")).scalar()
 
 
-def has_cue(text: Column) -> Column:
-    low = F.lower(text)
-    found = F.lit(False)
-    for cue in CUES:
-        found = found | F.contains(low, F.lit(cue))
-    return found
-
-
 def scan_licenses(docs: DataFrame, probability: float = PROBABILITY, overlap: float = TEMPLATE_OVERLAP) -> DataFrame:
     """docs with n_paragraphs, n_unknown, notices (array of family, probability, overlap, paragraph number) and family.
 
-    A paragraph is a line with a character that is no white space. Paragraphs with a cue word are classified; the others are
-    unknown. A notice is a paragraph whose most probable label is a family, with at least `probability`, and of whose three-word
-    shingles (or of a template's, if those are fewer) at least the share `overlap` is shared with a template of that family.
-    family is that of the most probable notice (ties: the first), null without one. Null and empty texts have no paragraphs.
+    A paragraph is a line with a character that is no white space. Those that share a three-word shingle with a template are
+    classified; the others have an overlap of 0, so that no label makes them a notice, and are unknown. A notice is a paragraph
+    whose most probable label is a family, with at least `probability`, and of whose three-word shingles (or of a template's, if
+    those are fewer) at least the share `overlap` is shared with a template of that family. family is that of the most probable notice (ties: the first), null without one. Null and empty texts have no paragraphs.
     Extra columns stay. Row by row, without a shuffle; very long lines cost time in proportion to their words.
     """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda p: F.trim(F.translate(p, "\t\r\x0b\x0c", "    ")) != "")
-    cued = F.when(has_cue(F.col("text")), F.filter(F.transform(lines, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: has_cue(s["p"])))
-    out = docs.withColumns({"n_paragraphs": F.size(lines).cast("long"), "_model": model_column(docs.sparkSession), "_cued": F.coalesce(cued, F.expr("cast(array() as array<struct<p:string,i:int>>)"))})
-    judged = f"transform(_cued, s -> named_struct('v', {verdict_sql('s.p')}, 'i', s.i))"
-    judged = f"if(size(_cued) = 0, cast(array() as array<struct<v:struct<family:string,probability:double,overlap:double>,i:int>>), {judged})"
+    # An overlap of 0 is a notice's only where none is asked for; all paragraphs are classified then.
+    able = f"filter(transform(_lines, (p, i) -> named_struct('w', {words_sql('p')}, 'i', i)), s -> {shares_sql('s.w') if overlap > 0 else 'true'})"
+    out = docs.withColumn("_lines", lines).withColumns({"n_paragraphs": F.size("_lines").cast("long"), "_model": model_column(docs.sparkSession), "_able": F.expr(able)})
+    judged = f"transform(_able, s -> named_struct('v', {verdict_sql('s.w')}, 'i', s.i))"
+    judged = f"if(size(_able) = 0, cast(array() as array<struct<v:struct<family:string,probability:double,overlap:double>,i:int>>), {judged})"
     kept = f"filter({judged}, s -> s.v.family <> '{UNKNOWN}' and s.v.probability >= {probability} and s.v.overlap >= {overlap})"
     out = out.withColumn("notices", F.expr(f"transform({kept}, s -> named_struct('family', s.v.family, 'probability', s.v.probability, 'overlap', s.v.overlap, 'paragraph', s.i))"))
     first = F.expr("aggregate(notices, cast(null as struct<family:string,probability:double,overlap:double,paragraph:int>), (a, s) -> if(a is null or s.probability > a.probability, s, a))")
     out = out.withColumn("n_unknown", F.col("n_paragraphs") - F.size("notices")).withColumn("_first", first)
-    return out.withColumn("family", F.col("_first.family")).withColumn("probability", F.col("_first.probability")).drop("_cued", "_first", "_model")
+    return out.withColumn("family", F.col("_first.family")).withColumn("probability", F.col("_first.probability")).drop("_lines", "_able", "_first", "_model")

@@ -52,3 +52,16 @@ def test_odd_rows(spark):
     out = licenses.scan_licenses(docs).collect()
     assert [(r.doc_id, r.n_paragraphs, r.family) for r in out] == [(1, 0, None), (2, 0, None), (3, 0, None), (None, 2, "mit"), (4, 1, None), (4, 2, "mit"), (4, 2, "mit")]
     assert licenses.scan_licenses(docs.where("false")).count() == 0
+
+
+def test_every_paragraph_is_judged(spark):
+    bare = {"Confidential and proprietary. Unauthorized copying of this file is strictly prohibited.": "proprietary", "Content is available under CC BY-SA 4.0.": "cc-by-sa", "Distributed under CC BY 4.0.": "cc-by"}
+    texts = [*bare, *licenses.OTHERS, "the of", "Free and unencumbered software, the tale of two ships.", "Thhaen the ouat of ing."]
+    docs = spark.createDataFrame([(0, "\n".join(texts))], "doc_id long, text string")
+    for least in ({}, {"probability": 0.2, "overlap": 0.1}, {"probability": 0.1, "overlap": 0.0}):
+        p, o = least.get("probability", licenses.PROBABILITY), least.get("overlap", licenses.TEMPLATE_OVERLAP)
+        want = [(i, v[0]) for i, v in enumerate(map(brute, texts)) if v[0] != licenses.UNKNOWN and v[1] >= p and v[2] >= o]
+        row = licenses.scan_licenses(docs, **least).first()
+        assert [(n.paragraph, n.family) for n in row.notices] == want
+        assert (row.n_paragraphs, row.n_unknown) == (len(texts), len(texts) - len(want))
+        assert any(i < len(bare) for i, _ in want)

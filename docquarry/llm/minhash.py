@@ -156,15 +156,16 @@ def overlap_udf(words: int):
     return overlap
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, hashes: bool = False) -> DataFrame:
     """(doc_id, n_words_shingled, class_id, copies, kept) for each row of docs (doc_id, text; other columns are ignored).
 
     Texts with equal shingle multisets are one class, whose smallest doc_id stands for it; classes of a weighted Jaccard
     similarity of at least `similarity` link, and class_id is the smallest doc_id reachable by links (itself included).
-    kept: doc_id is class_id. copies: rows with the same multiset. Texts without words, null texts and rows without a
-    doc_id link with nothing: their class is their own doc_id, and they are kept. Rows that share a doc_id and a text
-    are all kept or all not; of an id with several texts, the least one is what pairs are verified with. An empty table gives
-    no rows.
+    kept: doc_id is class_id, and of several texts of that id there, the row's has the least hash. copies: rows with the same
+    multiset. Texts without words, null texts and rows without a doc_id link with nothing: their class is their own doc_id, and
+    they are kept. Rows that share a doc_id and a text are all kept or all not; texts of one id are documents of their own, which
+    have the same class_id without a link where it is the least id of both. With hashes, text_hash tells them apart. An empty
+    table gives no rows.
 
     Candidates come from equal bands. In each bucket the members are held against two members in turn (the smallest
     doc_id, then one drawn by hash); buckets that still span several classes are then dealt out in tiles of bounded size, in
@@ -174,25 +175,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     """
     prepare(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = base.select("doc_id", signature_udf(bands, rows, words)("text").alias("s")).select("doc_id", "s.*")
+    signed = base.select("doc_id", F.xxhash64("text").alias("text_hash"), signature_udf(bands, rows, words)("text").alias("s")).select("doc_id", "text_hash", "s.*")
     signed = cut(signed, "signatures")
     keys = ["k1", "k2", "weight"]
     able = signed.where("weight > 0 and doc_id is not null")
-    classes = cut(able.groupBy(*keys, "bands").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = cut(able.groupBy(*keys, "bands").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
+    # A class goes by its smallest doc_id, unless several classes have the same: those go by a hash of their keys.
+    shared = cut(classes.groupBy(F.col("least.doc_id").alias("shared_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared_id"), "shared")
+    by_hash = not shared.isEmpty()
+    if by_hash:
+        classes = classes.join(shared, F.col("least.doc_id") == F.col("shared_id"), "left")
+        classes = cut(classes.withColumn("rep", F.when(F.col("shared_id").isNull(), F.col("least.doc_id")).otherwise(F.xxhash64(*keys))).drop("shared_id"), "named")
+    else:
+        classes = classes.withColumn("rep", F.col("least.doc_id"))
     banded = classes.select("rep", "weight", F.explode("bands").alias("bucket"))
     centre = F.min(F.struct("rep", "weight")).alias("c1")
     other = F.min(F.struct(F.xxhash64("bucket", "rep").alias("h"), "rep", "weight")).alias("c2")
     several = cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), centre, other).where("n > 1"), "buckets")
     members = cut(banded.join(several, "bucket"), "members")
-    wanted = members.select("rep").distinct()
-    texts = cut(base.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "least.*"), "rep")
+    texts = base.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
+    texts = cut(texts.groupBy("doc_id", "text_hash").agg(F.min("rep").alias("rep"), F.min("text").alias("text")).select("rep", "text"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, wa, b, wb), those that are similar; sizes are compared first."""
         able = pairs.where((F.col("a") != F.col("b")) & (F.least("wa", "wb") >= similarity * F.greatest("wa", "wb") - 1e-9))
         able = able.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+        right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
         scored = able.join(left, "a").join(right, "b").select("a", "b", overlap_udf(words)("ta", "tb").alias("j"))
         return cut(scored.where(F.col("j") >= similarity - 1e-12).select("a", "b"), "links")
 
@@ -210,7 +220,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     pivots = F.when(F.col("c1.rep") == F.col("c2.rep"), 1).otherwise(2)
     left = across(components(links)).where((F.col("n") - pivots > 1) & (F.col("rep") != F.col("c1.rep")) & (F.col("rep") != F.col("c2.rep")))
     left = left.select("bucket", "rep", "component", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    payload = texts.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "bands"), "rep")
+    payload = texts.join(classes.select("rep", "bands"), "rep")
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int")
     tiled = left.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiled = tiled.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "rep", "component")
@@ -224,16 +234,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     rest = tiled.join(payload, "rep").groupBy("bucket", "x", "y").applyInPandas(joined, "a long, b long")
     found = components(links.union(cut(rest, "rest")))
 
-    placed = classes.select(*keys, "rep", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = cut(placed.select(*keys, "copies", F.coalesce("component", "rep").alias("class_id")), "classes")
-    out = able.join(placed, keys).select("doc_id", "weight", "class_id", "copies")
-    alone = signed.where("not (weight > 0 and doc_id is not null)").select("doc_id", "weight", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
+    placed = classes.select(*keys, "rep", "least", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if by_hash:
+        placed = cut(placed, "components")
+        placed = placed.join(placed.groupBy("component").agg(F.min("least").alias("first")), "component")
+    else:
+        # Only the class that the component goes by has a row of that doc_id.
+        placed = placed.withColumn("first", F.struct(F.col("component").alias("doc_id"), F.col("least.text_hash").alias("text_hash")))
+    placed = cut(placed.select(*keys, "copies", "first"), "classes")
+    first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    out = able.join(placed, keys).select("doc_id", "text_hash", "weight", F.col("first.doc_id").alias("class_id"), "copies", first.alias("kept"))
+    alone = signed.where("not (weight > 0 and doc_id is not null)").select("doc_id", "text_hash", "weight", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"))
     out = out.unionByName(alone)
-    return out.select("doc_id", F.col("weight").alias("n_shingles"), "class_id", "copies", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", *["text_hash"] * hashes, F.col("weight").alias("n_shingles"), "class_id", "copies", "kept")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the rows that near_duplicates() does not keep; rows that repeat a doc_id and text stay once."""
-    gone = near_duplicates(spark, docs).where("not kept").select("doc_id").distinct()
-    gone = cut(gone, "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = near_duplicates(spark, docs, hashes=True).where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    found = cut(found.where("not _kept or _n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "_kept"), "gone")
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of"))
+    out = docs.withColumn("_hash", F.xxhash64("text")).join(found.where("not _kept"), same, "left_anti")
+    again = found.where("_kept")
+    if not again.isEmpty():
+        once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+        out = out.join(again, same, "left_anti").unionByName(once)
+    return out.select(*docs.columns)

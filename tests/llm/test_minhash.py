@@ -120,3 +120,32 @@ def test_large_buckets_in_small_tiles(spark, monkeypatch):
         rows.append((1000 - k, " ".join(words), "s"))
     got = {r.doc_id: r.class_id for r in near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute([(r[0], r[1]) for r in rows])
+
+
+def test_ids_with_several_texts(spark):
+    rng = np.random.default_rng(5)
+    text = lambda first: " ".join([first, *(f"t{i}" for i in rng.integers(0, 10_000, 120))])
+    low, high, copied, third, fourth = text("a"), text("z"), text("m"), text("q"), text("p")
+    near = lambda t: t + " tail"
+    rows = [
+        *[(3, copied), (5, low), (5, high), (5, copied)],  # a copy of another id's text
+        *[(13, third), (15, near(low) + " x y"), (15, near(third))],  # near copies, of 5 and of 13
+        *[(25, fourth), (25, near(fourth)), (26, fourth + " more")],  # near copies under one id
+        *[(31, "said twice over"), (31, "said twice over"), (32, ""), (32, "")],
+        *[(41, "same words"), (41, "same  words"), (None, "no id"), (None, "no id")],
+    ]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], SCHEMA)
+    stay = Counter((r.doc_id, r.text) for r in keep_one(spark, docs).collect())
+    fourths = [(25, fourth), (25, near(fourth))]
+    sames = [(41, "same words"), (41, "same  words")]
+    assert sum(stay[x] for x in fourths) == 1 and sum(stay[x] for x in sames) == 1
+    want = {(3, copied): 1, (5, low): 1, (5, high): 1, (13, third): 1, (31, "said twice over"): 1, (32, ""): 1, (None, "no id"): 2}
+    assert {k: n for k, n in stay.items() if k not in fourths + sames} == want
+
+
+def test_an_id_whose_other_text_is_a_copy(spark):
+    for a, b in (("a", "m"), ("z", "m")):
+        alone, copied = " ".join(f"{a}{i}" for i in range(60)), " ".join(f"{b}{i}" for i in range(60))
+        for second in (copied, copied + " tail"):
+            docs = spark.createDataFrame([(3, copied, "s"), (5, alone, "s"), (5, second, "s")], SCHEMA)
+            assert sorted((r.doc_id, r.text) for r in keep_one(spark, docs).collect()) == [(3, copied), (5, alone)]

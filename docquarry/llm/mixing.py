@@ -192,16 +192,16 @@ def mix_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     runs = pieces.select("number", "start", F.explode(F.expr("transform(sequence(1, uses + 1), p -> struct(int(p) as pass, first, if(p <= uses, last, first + part) as last))")).alias("r"))
     runs = runs.select("number", "start", "r.*").where("last > first")
     runs = runs.groupBy("number", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum(F.col("last") - F.col("first")).alias("words"))
-    runs = runs.join(out.select("number", "start", "doc_id", "text_hash", "size"), ["number", "start"])
+    runs = runs.join(out.select("number", "start", "doc_id", "source", "text_hash", "size"), ["number", "start"])
     # Rows repeated in full have runs of their own; which of them takes which does not matter, so they are numbered.
     twins = Window.partitionBy("doc_id", "text_hash", "number").orderBy("start")
     runs = runs.withColumn("twin", F.dense_rank().over(twins))
-    runs = cut(runs.select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "text_hash", "twin", "runs", "words", "size")]), "runs")
+    runs = cut(runs.select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "text_hash", "twin", "runs", "words", "size")]), "runs")
     columns = docs.columns
     keyed = docs.withColumn("_mix_hash", F.xxhash64("text"))
     if not runs.where("_mix_twin > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["doc_id", "_mix_hash"])
-    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")) & (F.col("_mix_hash") == F.col("_mix_text_hash")))
+        keyed = keyed.dropDuplicates(["doc_id", "source", "_mix_hash"])
+    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_hash") == F.col("_mix_text_hash")))
     parts = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     # Bound to a variable, so that a text is split once, not for each of its runs.
     piece = lambda w: lambda r: F.slice(w, (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int"))

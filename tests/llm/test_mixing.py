@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from docquarry.llm.mixing import mix_report, mix_texts, permuted, water_fill
+from docquarry.llm.mixing import mix_report, mix_texts, mixed, permuted, water_fill
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,3 +67,18 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mix_report(spark, none).count() == 0 and mix_texts(spark, none).count() == 0
     assert [r.taken for r in mix_report(spark, docs.where("doc_id = 1")).collect()] == [0]
+
+
+def test_one_text_under_two_sources(spark):
+    text = "one two three " * 40
+    rows = [(1, text, "en", "a", 1), (1, text, "fr", "b", 2), (1, text, "de", None, 3), (2, "w " * 900, "en", "a", 4), (3, "v " * 900, "en", "b", 5)]
+    for more in ([], [(4, "u " * 90, "en", "a", 6)] * 2):
+        docs = spark.createDataFrame(rows + more, SCHEMA)
+        want, got = {}, {}
+        report = mixed(spark, docs)[0].select("doc_id", "source", "taken").collect()
+        for r in report:
+            want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+        for r in mix_texts(spark, docs).collect():
+            assert r.doc_id != 1 or r.lang == {"a": "en", "b": "fr", None: "de"}[r.source]
+            got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(r.text.split())
+        assert got == {k: n for k, n in want.items() if n}

@@ -76,28 +76,33 @@ def topological_levels(calls: DataFrame, rounds_left: int | None = None) -> Data
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row for each call of calls (conv_id, call_id, turn, name, arguments, depends_on), with level, status, problems, n_results and json.
+    """One row for each call of calls (conv_id, call_id, turn, name, arguments, depends_on), with level, status, problems, n_results and json,
+    and one for each conv_id and call_id that only results have.
 
     Calls and results (conv_id, call_id, turn, content) meet by a hash join on conv_id and call_id. A call that repeats
     conv_id and call_id counts once, as its least row; of several results to a call the first by turn and content counts, and
-    n_results tells how many there were. status: invalid (problems is not empty), cyclic, unanswered or linked. json is
-    canonical: the call's arguments canonical within it (as text where they don't parse), and its result or null. Rows with a null
+    n_results tells how many there were. status: orphan (there is no call), invalid (problems is not empty), cyclic, unanswered or
+    linked. json is canonical: the call's arguments canonical within it (as text where they don't parse), and its result or null.
+    An orphan has the turn of its result, level 0, no problems and a null call in json. Rows with a null
     conv_id, call_id or turn are ignored. Empty tables give no rows.
     """
     known = "conv_id is not null and call_id is not null and turn is not null"
     one = calls.where(known).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"))
     one = cut(one.select("conv_id", "call_id", "c.*"), "calls")
     answers = results.where(known).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    out = topological_levels(one).join(cut(answers, "results"), ["conv_id", "call_id"], "left")
-    out = out.withColumn("problems", violations(F.col("name"), F.col("arguments"), schemas)).withColumn("n_results", F.coalesce("n_results", F.lit(0)).cast("long"))
-    status = F.when(F.size("problems") > 0, "invalid").when(F.col("level").isNull(), "cyclic").when(F.col("n_results") == 0, "unanswered").otherwise("linked")
+    out = topological_levels(one).withColumn("_called", F.lit(True)).join(cut(answers, "results"), ["conv_id", "call_id"], "full")
+    orphan = F.col("_called").isNull()
+    out = out.withColumn("turn", F.coalesce("turn", "r.turn")).withColumn("level", F.when(orphan, F.lit(0).cast("long")).otherwise(F.col("level")))
+    out = out.withColumn("problems", F.when(orphan, F.array().cast("array<string>")).otherwise(violations(F.col("name"), F.col("arguments"), schemas))).withColumn("n_results", F.coalesce("n_results", F.lit(0)).cast("long"))
+    status = F.when(orphan, "orphan").when(F.size("problems") > 0, "invalid").when(F.col("level").isNull(), "cyclic").when(F.col("n_results") == 0, "unanswered").otherwise("linked")
     out = out.withColumn("status", status)
     quoted = lambda c: F.coalesce(F.to_json(F.to_variant_object(F.array(c))), F.lit("[null]"))
     bare = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.expr("substring(_q, 2, length(_q) - 2)"))  # noqa: E731, F841
     text = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.regexp_replace(quoted(c), r"^\[|\]$", ""))
     arguments = F.coalesce(canonical(F.col("arguments")), text(F.col("arguments")))
     content = F.col("r.content")
-    json = F.concat(F.lit('{"call":{"arguments":'), arguments, F.lit(',"id":'), text(F.col("call_id")), F.lit(',"name":'), text(F.col("name")), F.lit('},"result":'), text(content), F.lit(',"status":"'), F.col("status"), F.lit('"}'))
+    call = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), text(F.col("call_id")), F.lit(',"name":'), text(F.col("name")), F.lit("}"))
+    json = F.concat(F.lit('{"call":'), F.when(orphan, F.lit("null")).otherwise(call), F.lit(',"result":'), text(content), F.lit(',"status":"'), F.col("status"), F.lit('"}'))
     return out.select("conv_id", "call_id", "turn", "name", "level", "status", "problems", "n_results", json.alias("json"))
 
 

@@ -45,3 +45,15 @@ def test_odd_rows(spark):
     turns = spark.createDataFrame([(1, 0, "user", None, 3), (1, 1, "assistant", "hé\n", 3), (1, 2, "user", "x" * 100_000, 3), (1, 3, "system", "s", 3), (1, 3, None, "s", 3)], "conv_id long, turn int, role string, text string, level int")
     out = chat.linked_calls(*chat.as_calls(turns), chat.REPLY).collect()
     assert sorted((r.call_id, r.status) for r in out) == [("t0", "linked"), ("t2", "unanswered")]
+
+
+def test_results_without_a_call(spark):
+    turns = [(1, 0, "assistant", "hello"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "assistant", "c"), (1, 3, "assistant", "d"), (2, 0, "system", "s"), (None, 4, "assistant", "n")]
+    docs = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.call_id): r for r in chat.linked_calls(*chat.as_calls(docs), chat.REPLY).collect()}
+    assert {k: (r.turn, r.level, r.status, r.problems, r.n_results) for k, r in got.items()} == {
+        (1, "t-1"): (0, 0, "orphan", [], 1),
+        (1, "t1"): (1, 0, "linked", [], 1),
+        (1, "t2"): (3, 0, "orphan", [], 2),
+    }
+    assert got[1, "t2"].json == '{"call":null,"result":"c","status":"orphan"}'

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ CONTAINER, MAX_BYTES, MAX_DEPTH = 8, 16 * 1024 * 1024, 16
 FNV_OFFSET, FNV_PRIME, NAMESPACE = 0xCBF29CE484222325, 0x100000001B3, uuid.NAMESPACE_OID
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of names that df has not (whatever the case), so that helper columns never meet df's own."""
+    taken = {c.lower() for c in df.columns}
+    end = next(e for e in (f"__{i}" if i else "" for i in range(len(taken) + 1)) if not taken & {f"_{n}{e}".lower() for n in names})
+    return [f"_{n}{end}" for n in names]
+
+
 def path(df: DataFrame, dotted: str) -> Column:
     """The value at a dotted path; null where it leads nowhere."""
     return Typed(df).find(dotted)[0]
@@ -130,16 +138,18 @@ def fnv1a(column: Column) -> Column:
 
     @F.pandas_udf("long")
     def hashed(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            if v is None:
-                out.append(None)
-                continue
-            h = FNV_OFFSET
-            for b in v.encode() if isinstance(v, str) else v:
-                h = ((h ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
-            out.append(h - (1 << 64) if h >> 63 else h)
-        return pd.Series(out, dtype="Int64")
+        # Place by place over the whole batch, longest first, so that those with a byte at a place are a prefix.
+        raw = [b"" if v is None else v.encode() if isinstance(v, str) else bytes(v) for v in values]
+        order = np.argsort([-len(r) for r in raw], kind="stable")
+        sizes = np.array([len(raw[i]) for i in order], np.int64)
+        data, start = np.frombuffer(b"".join(raw[i] for i in order), np.uint8).astype(np.uint64), np.r_[0, np.cumsum(sizes)][:-1]
+        h = np.full(len(raw), FNV_OFFSET, np.uint64)
+        for place in range(int(sizes[0]) if len(sizes) else 0):
+            n = int(np.searchsorted(-sizes, -place, "left"))
+            h[:n] = (h[:n] ^ data[start[:n] + place]) * np.uint64(FNV_PRIME)
+        out = np.empty(len(raw), np.int64)
+        out[order] = h.view(np.int64)
+        return pd.Series(out, dtype="Int64").where(~pd.isna(values).to_numpy(), pd.NA)
 
     return hashed(column)
 

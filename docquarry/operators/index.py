@@ -49,6 +49,46 @@ def conflicts(df: DataFrame, paths: Sequence[str]) -> DataFrame:
     return keyed(df, paths, sparse=True).groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min(ID).alias("first_id")).where("n > 1")
 
 
+def without(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """An index (k0, ..., _id) after the documents of gone (_id) are removed: their entries go, and with them keys left empty."""
+    return index.join(gone.select(ID).distinct(), ID, "left_anti").select(*index.columns)
+
+
+def maintained(index: DataFrame, changed: DataFrame, paths: Sequence[str], sparse: bool = False) -> DataFrame:
+    """An index after the documents of changed were inserted or updated: their old entries go, their new ones come in."""
+    return without(index, changed).unionByName(keyed(changed, paths, sparse))
+
+
+def insert_unique(df: DataFrame, new: DataFrame, uniques: Sequence[Sequence[str]]) -> tuple[DataFrame, DataFrame]:
+    """(df after, rejected): rows of new (each a document of its own _id) put in where no unique index objects.
+
+    A row is rejected, with all its entries, if another document of df or a row of new of a smaller _id has its key in any of the
+    indexes; a null in a key objects to nothing. Rows of new replace documents of the same _id, whose keys don't count.
+    """
+    stays = df.join(new.select(ID).distinct(), ID, "left_anti")
+    refused = None
+    for paths in uniques:
+        names = [f"k{i}" for i in range(len(paths))]
+        own = keyed(new, paths, sparse=True)
+        taken = own.join(keyed(stays, paths, sparse=True).select(*names).distinct(), names, "left_semi").select(ID)
+        again = own.join(own.groupBy(*names).agg(F.min(ID).alias("_first")), names).where(F.col(ID) != F.col("_first")).select(ID)
+        refused = taken.union(again) if refused is None else refused.union(taken).union(again)
+    if refused is None:
+        return stays.unionByName(new, allowMissingColumns=True), new.where("false")
+    refused = refused.distinct()
+    accepted = new.join(refused, ID, "left_anti")
+    kept = df.join(accepted.select(ID), ID, "left_anti")
+    return kept.unionByName(accepted, allowMissingColumns=True), new.join(refused, ID, "left_semi")
+
+
+def in_key_order(df: DataFrame, name: str) -> list[Column]:
+    """Sort keys that put a VARIANT column's values in the order of an index: by type (type_rank), then by value."""
+    value = F.col(name)
+    text = F.try_variant_get(value, "$", "string")
+    number = F.when(type_rank(value).isin(2, 3), F.try_variant_get(value, "$", "double"))
+    return [type_rank(value), number.asc_nulls_first(), F.when(type_rank(value) == 2, F.try_variant_get(value, "$", "bigint")).asc_nulls_first(), text.asc_nulls_first()]
+
+
 def type_rank(column: Column) -> Column:
     """Where a variant's type stands in the order of keys: null, booleans, whole numbers, other numbers, strings, bytes, times."""
     kind = F.schema_of_variant(column)

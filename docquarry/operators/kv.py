@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,18 +11,44 @@ from pyspark.sql import functions as F
 
 from docquarry.session import ship
 
+#: Commands that wait on the driver, pairs that a fetch returns, and the collection that stands for the older protocol's keys.
+PENDING, FETCH_LIMIT, LEGACY = 1000, 1000, "_legacy_kv"
+
+LOG = "seq long, op string, key string, value string, expected_version long"
+
 
 class Store:
-    """Commands on keys as entries of a log: what is asked is answered from the log's fold, in the order of the commands."""
+    """Commands on keys as entries of a log: what is asked is answered from the log's fold, in the order of the commands.
+
+    Entries wait on the driver and become rows of the log at once, PENDING together at most; a log over folder is appended to there,
+    so that its plan stays one scan however many commands come.
+    """
+
+    def __init__(self, log: DataFrame, folder: str | None = None):
+        self.spark, self.folder, self.base = log.sparkSession, folder, log.select(*[c.split()[0] for c in LOG.split(", ")])
+        self.seq = log.agg(F.max("seq")).first()[0] or 0
+        self.waiting: list[tuple] = []
+        self.in_folder = False
 
-    def __init__(self, log: DataFrame):
-        self.log = log
+    @property
+    def log(self) -> DataFrame:
+        return self.base.unionByName(self.spark.createDataFrame(self.waiting, LOG)) if self.waiting else self.base
 
     def _append(self, op: str, key: str, value: str | None = None, expected_version: int | None = None) -> None:
-        spark = self.log.sparkSession
-        seq = (self.log.agg(F.max("seq")).first()[0] or 0) + 1
-        entry = spark.createDataFrame([(seq, op, key, value, expected_version)], "seq long, op string, key string, value string, expected_version long")
-        self.log = self.log.unionByName(entry)
+        self.seq += 1
+        self.waiting.append((self.seq, op, key, value, expected_version))
+        if len(self.waiting) >= PENDING:
+            self.store()
+
+    def store(self) -> None:
+        """Move waiting entries into the log: to its folder, or into one batch of its plan."""
+        if self.waiting and self.folder:
+            new = self.spark.createDataFrame(self.waiting, LOG)
+            (new if self.in_folder else self.log).write.mode("append").parquet(self.folder)
+            self.in_folder, self.base = True, self.spark.read.schema(LOG).parquet(self.folder)
+        elif self.waiting:
+            self.base = self.log
+        self.waiting = []
 
     def set(self, key: str, value: str) -> None:
         self._append("set", key, value)
@@ -39,8 +66,34 @@ class Store:
         row = replay(self.log.where(F.col("key") == key)).orderBy(F.desc("seq")).first()
         return row.value if row else None
 
+    def fetch(self, limit: int = FETCH_LIMIT) -> DataFrame:
+        """Up to `limit` pairs (key, value), in key order."""
+        return current(self.log).orderBy("key").limit(limit)
+
     def keys(self) -> DataFrame:
-        return latest(self.log).select("key")
+        return current(self.log).select("key")
+
+
+def translated(op: str, key: str | None = None, value: Any = None, expected: Any = None) -> dict[str, Any]:
+    """A command of the older protocol as one of the newer: an insert, query, delete or update on the collection LEGACY."""
+    at = {"collection": LEGACY}
+    if op == "SET":
+        return {"op": "insert", **at, "document": {"_id": key, "value": value}}
+    if op == "GET":
+        return {"op": "query", **at, "filter": {"_id": key}, "limit": 1}
+    if op == "DEL":
+        return {"op": "delete", **at, "filter": {"_id": key}}
+    if op == "CAS":
+        return {"op": "update", **at, "filter": {"_id": key, "value": expected}, "update": {"$set": {"value": value}}}
+    if op == "FETCH":
+        return {"op": "query", **at, "filter": {}, "limit": FETCH_LIMIT}
+    raise ValueError(f"no command {op}")
+
+
+def current(log: DataFrame) -> DataFrame:
+    """(key, value) after all operations, compare-and-set included: each key's last state of its fold."""
+    last = replay(log).groupBy("key").agg(F.max_by(F.struct("version", "value"), "seq").alias("last"))
+    return last.where("last.version is not null").select("key", "last.value")
 
 
 def latest(log: DataFrame) -> DataFrame:

@@ -60,9 +60,9 @@ def slow_statistics(log: DataFrame, threshold_ms: float = SLOW_MS) -> DataFrame:
 
 
 def audit_statistics(audit: DataFrame) -> DataFrame:
-    """Counts of events (kind, success): authentication and authorization by outcome, administration."""
+    """Counts of events (kind, success): authentication and authorization by outcome, administration, configuration."""
     n = lambda kind, ok=None: F.count(F.when((F.col("kind") == kind) & (F.lit(True) if ok is None else F.col("success") == ok), 1))
-    return audit.agg(F.count(F.lit(1)).alias("total"), n("auth", True).alias("auth_ok"), n("auth", False).alias("auth_failed"), n("authz", False).alias("authz_failed"), n("admin").alias("admin"))
+    return audit.agg(F.count(F.lit(1)).alias("total"), n("auth", True).alias("auth_ok"), n("auth", False).alias("auth_failed"), n("authz", False).alias("authz_failed"), n("admin").alias("admin"), n("config").alias("config_changes"))
 
 
 def audit_recent(audit: DataFrame, n: int, user: str | None = None, operation: str | None = None) -> DataFrame:
@@ -102,3 +102,13 @@ def cluster_health(replicas: DataFrame) -> DataFrame:
 def storage_statistics(collections: DataFrame) -> DataFrame:
     """Of documents (collection, size_bytes, created_at, updated_at): what a catalog tells about each collection."""
     return collections.groupBy("collection").agg(F.count(F.lit(1)).alias("documents"), F.sum("size_bytes").alias("bytes"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+
+
+def server_info(operations: DataFrame, sessions: DataFrame, collections: int, started: Column, now: Column, seconds: int = 5) -> DataFrame:
+    """One row of (operations (ts, hit), sessions): uptime_seconds, connections, collections, total, ops_per_second over the last
+    `seconds`, and hit_rate of all lookups (0 without one)."""
+    recent = F.count(F.when((F.col("ts") <= now) & (F.col("ts") > now - F.make_dt_interval(secs=F.lit(seconds))), 1))
+    hits, lookups = F.count(F.when(F.col("hit"), 1)), F.count("hit")
+    out = operations.agg(F.count(F.lit(1)).alias("total"), (recent / seconds).alias("ops_per_second"), F.coalesce(hits / F.nullif(lookups, F.lit(0)), F.lit(0.0)).alias("hit_rate"))
+    connections = sessions.agg(F.count(F.lit(1))).scalar()
+    return out.select(F.timestamp_diff("SECOND", started, now).alias("uptime_seconds"), connections.alias("connections"), F.lit(collections).alias("collections"), "total", "ops_per_second", "hit_rate")

@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.values import decrypt, encrypt
 
-#: The operations, and what each role may do by default.
-READ = ("read", "query", "list_collections", "list_indexes", "subscribe", "view_info", "view_metrics")
-WRITE = ("insert", "update", "delete", "publish", "aggregate", "create_index", "drop_index", "create_collection")
-ADMIN = ("drop_collection", "create_user", "delete_user", "update_user", "list_users", "create_backup", "restore_backup", "manage_replication", "manage_keys", "manage_config")
-ROLES = {"read-only": READ, "read-write": READ + WRITE, "admin": READ + WRITE + ADMIN}
+#: The operations, and which of them each role may do by default.
+OPERATIONS = (
+    "read", "write", "delete",
+    "create_collection", "drop_collection", "list_collections",
+    "create_index", "drop_index", "list_indexes",
+    "create_user", "update_user", "delete_user", "list_users", "change_password",
+    "backup", "restore", "view_metrics", "view_logs", "configure_server",
+    "subscribe", "publish",
+    "flush_cache", "view_cache_stats",
+    "configure_replication", "view_replication_status",
+)
+READ_ONLY = ("read", "list_collections", "list_indexes", "change_password", "subscribe", "view_cache_stats", "view_replication_status")
+READ_WRITE = ("read", "write", "delete", "list_collections", "list_indexes", "change_password", "subscribe", "publish", "view_cache_stats", "view_replication_status")
+ROLES = {"admin": OPERATIONS, "read_write": READ_WRITE, "read_only": READ_ONLY}
 
 
 def role_permissions(spark: SparkSession) -> DataFrame:
@@ -20,31 +29,24 @@ def role_permissions(spark: SparkSession) -> DataFrame:
 
 
 def decide(requests: DataFrame, permissions: DataFrame, acl: DataFrame) -> DataFrame:
-    """requests (request_id, user, role, operation, collection) with allowed and reason.
+    """requests (request_id, user, role, operation, resource) with allowed and reason.
 
-    The role decides first. Of the access list's entries (user, operation, collection, allow, each null for any) that match, a
-    denial beats a permission, and matches without a permission deny; without a match the role's decision stands.
+    The role decides first. Rows of the access list (principal: a user or a role, resource, operation, deny) count where the
+    principal is the request's user or role and the resource its own; a null operation stands for an entry without operations.
+    Of those of the request's operation, a denial beats a permission; if there are rows, but none permits the operation, it is
+    denied; without rows the role's decision stands. reason: role, denied, permitted or not_listed.
+
+    The list becomes a row for each principal and resource, with a set of at most all operations; a request meets its one or two
+    principals by one equi-join, and its votes are added up by request.
     """
-    by_role = requests.join(permissions.distinct().withColumn("_role", F.lit(True)), ["role", "operation"], "left")
-    rules = acl.select(F.col("user").alias("u"), F.col("operation").alias("o"), F.col("collection").alias("c"), "allow")
-    # Equality on what is given, any for null: exact rules meet by key, each of the eight forms of a rule is an equi-join on what it gives,
-    # with one row for each such key (one in all for rules that give nothing).
-    forms = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
-    hits = None
-    for form in forms:
-        own = rules
-        for name, given in zip("uoc", form, strict=True):
-            own = own.where(F.col(name).isNotNull() if given else F.col(name).isNull())
-        own = own.groupBy("u", "o", "c").agg(F.max(F.col("allow").cast("int")).alias("yes"), F.min(F.col("allow").cast("int")).alias("no")).withColumn("_any", F.lit(1))
-        on = [F.col(b) == F.col(a) for a, b, given in zip("uoc", ("user", "operation", "collection"), form, strict=True) if given]
-        condition = on or [F.col("_one") == F.col("_any")]
-        found = requests.withColumn("_one", F.lit(1)).join(own, condition).select("request_id", "yes", "no")
-        hits = found if hits is None else hits.unionByName(found)
-    votes = hits.groupBy("request_id").agg(F.max("yes").alias("yes"), F.min("no").alias("no"))
-    out = by_role.join(votes, "request_id", "left")
-    reason = F.when(F.col("_role").isNull(), "role").when(F.col("no") == 0, "denied").when(F.col("yes") == 1, "permitted").when(F.col("yes").isNotNull(), "denied").otherwise("role")
+    entries = acl.groupBy("principal", "resource").agg(F.collect_set(F.when(F.col("deny"), F.col("operation"))).alias("_denied"), F.collect_set(F.when(~F.col("deny"), F.col("operation"))).alias("_allowed"))
+    asked = requests.select("request_id", "operation", "resource", F.explode(F.array_distinct(F.array("user", "role"))).alias("principal"))
+    met = asked.join(entries, ["principal", "resource"])
+    votes = met.groupBy("request_id").agg(F.max(F.expr("array_contains(_denied, operation)")).alias("_no"), F.max(F.expr("array_contains(_allowed, operation)")).alias("_yes"))
+    out = requests.join(permissions.distinct().withColumn("_role", F.lit(True)), ["role", "operation"], "left").join(votes, "request_id", "left")
+    reason = F.when(F.col("_role").isNull() | F.col("_no").isNull(), "role").when(F.col("_no"), "denied").when(F.col("_yes"), "permitted").otherwise("not_listed")
     out = out.withColumn("reason", reason)
-    return out.withColumn("allowed", F.col("_role").isNotNull() & (F.col("reason") != "denied")).drop("_role", "yes", "no")
+    return out.withColumn("allowed", F.col("_role").isNotNull() & ~F.col("reason").isin("denied", "not_listed")).select(*requests.columns, "reason", "allowed")
 
 
 def encrypt_fields(df: DataFrame, columns: list[str], key: Column) -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.sources.shared import cut
+from docquarry.functions.values import spare
+
 #: Bytes that a structure counts besides its payload, a member's score, and the margin that eviction frees beyond need.
 OVERHEAD, SCORE, ITEM, MARGIN = 16, 8, 8, 1.2
 
@@ -108,13 +111,23 @@ def set_scores(scores: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def by_rank(scores: DataFrame, start: int, stop: int) -> DataFrame:
-    """(key, rank, member, score) with rank from start to stop, by score and then member."""
+    """(key, rank, member, score) with rank from start to stop, by score and then member. Ranks from the head are cut off before the
+    shuffle; only ranks from the tail need each set's size."""
     whole = Window.partitionBy("key")
-    out = scores.withColumn("rank", F.row_number().over(whole.orderBy("score", "member")) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
+    place = F.row_number().over(whole.orderBy("score", "member"))
+    if start >= 0 and stop >= 0:
+        out = scores.withColumn("place", place).where(F.col("place") <= stop + 1).withColumn("rank", F.col("place") - 1)
+        return out.where(F.col("rank") >= start).select("key", "rank", "member", "score")
+    out = scores.withColumn("rank", place - 1).withColumn("n", F.count(F.lit(1)).over(whole))
     low, high = bounds(start, stop, F.col("n"))
     return out.where((F.col("rank") >= low) & (F.col("rank") <= high)).select("key", "rank", "member", "score")
 
 
+def remove_scores(scores: DataFrame, gone: DataFrame) -> DataFrame:
+    """scores without the members of gone (key, member); members that aren't there change nothing."""
+    return scores.join(gone.select("key", "member").distinct(), ["key", "member"], "left_anti").select(*scores.columns)
+
+
 def by_score(scores: DataFrame, low: float, high: float) -> DataFrame:
     """Members with low <= score <= high, in order."""
     return scores.where(F.col("score").between(low, high)).orderBy("key", "score", "member")
@@ -158,6 +171,55 @@ def remaining_seconds(now: Column) -> Column:
     return F.when(F.col("expires_at").isNull(), F.lit(-1)).otherwise(F.greatest(F.lit(0), left)).cast("long")
 
 
+def due(now: Column, ttl_seconds: int | None) -> Column:
+    """When an entry written now expires; null for never."""
+    return F.lit(None).cast("timestamp_ntz") if ttl_seconds is None else (now + F.make_dt_interval(secs=F.lit(ttl_seconds))).cast("timestamp_ntz")
+
+
+def put(entries: DataFrame, new: DataFrame, now: Column, ttl_seconds: int | None = None) -> DataFrame:
+    """entries with new (key, size_bytes) written now: each replaces its key's entry and starts with no access; of rows that
+    repeat a key the largest stays."""
+    written = new.groupBy("key").agg(F.max("size_bytes").alias("size_bytes"))
+    written = written.select("key", "size_bytes", now.alias("last_accessed"), F.lit(0).cast("long").alias("access_count"), due(now, ttl_seconds).alias("expires_at"))
+    return removed(entries, new).unionByName(written, allowMissingColumns=True)
+
+
+def read(entries: DataFrame, asked: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(entries after, asked (key) with hit): expired entries go first; each time a key is asked for counts as an access now."""
+    alive = live(entries, now)
+    wanted = asked.groupBy("key").agg(F.count(F.lit(1)).alias("_asked"))
+    out = alive.join(wanted, "key", "left").withColumn("access_count", F.col("access_count") + F.coalesce("_asked", F.lit(0)))
+    out = out.withColumn("last_accessed", F.when(F.col("_asked").isNull(), F.col("last_accessed")).otherwise(now)).select(*entries.columns)
+    have = alive.select("key").distinct().withColumn("hit", F.lit(True))
+    return out, asked.join(have, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def removed(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """entries without those of keys (key)."""
+    return entries.join(keys.select("key").distinct(), "key", "left_anti").select(*entries.columns)
+
+
+def exists(entries: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """asked (key) with exists: there is an entry that has not expired."""
+    return read(entries, asked, now)[1].withColumnRenamed("hit", "exists")
+
+
+def cleared(entries: DataFrame) -> DataFrame:
+    return entries.limit(0)
+
+
+def expire(entries: DataFrame, keys: DataFrame, now: Column, ttl_seconds: int | None) -> DataFrame:
+    """entries in which those of keys (key) expire ttl_seconds from now; None: never (persist)."""
+    marked = keys.select("key").distinct().withColumn("_new", F.lit(True))
+    out = entries.join(marked, "key", "left")
+    return out.withColumn("expires_at", F.when(F.col("_new"), due(now, ttl_seconds)).otherwise(F.col("expires_at"))).select(*entries.columns)
+
+
+def time_left(entries: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """asked (key) with ttl: whole seconds until expiry, -1 for entries that stay, null where there is none."""
+    return asked.join(entries.select("key", remaining_seconds(now).alias("ttl")), "key", "left").select("key", "ttl")
+
+
 #: Which entries go first.
 POLICIES = {
     "lru": lambda: [F.col("last_accessed").asc(), F.col("key")],
@@ -170,6 +232,7 @@ def victims(entries: DataFrame, policy: str, need_bytes: float) -> DataFrame:
     """The entries that go, in the policy's order, until need_bytes are freed. "none" evicts nothing, and fails if bytes are needed.
 
     The running sum is over range partitions: sums of the partitions before are added to sums within, so no task holds all entries.
+    Entries with equal keys have no order among them.
     """
     if policy == "none":
         if need_bytes > 0:
@@ -179,14 +242,20 @@ def victims(entries: DataFrame, policy: str, need_bytes: float) -> DataFrame:
 
 
 def running_before(df: DataFrame, keys: list[Column], size: str) -> DataFrame:
-    """df with before: the sum of size over the rows that precede in the order of keys (which tell rows apart)."""
-    spans = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    inner = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_in", F.coalesce(F.sum(size).over(inner), F.lit(0)))
-    parts = spans.groupBy("_part").agg(F.sum(size).alias("_sum"))
-    outer = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("_part", F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_base"))
-    return spans.join(base, "_part").withColumn("before", F.col("_in") + F.col("_base")).drop("_part", "_in", "_base")
+    """df with before: the sum of size over the rows that precede in the order of keys (which tell rows apart).
+
+    Rows are dealt into ranges once, in a table that keeps each row's range: planned twice, two shuffles could draw different
+    bounds, or have their ranges merged differently.
+    """
+    part, inside, total, base = spare(df, "part", "in", "sum", "base")
+    spans = cut(df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy(part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    parts = spans.groupBy(part).agg(F.sum(size).alias(total))
+    # One row a range: as many as there are partitions.
+    outer = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(part, F.coalesce(F.sum(total).over(outer), F.lit(0)).alias(base))
+    spans = spans.withColumn(inside, F.coalesce(F.sum(size).over(inner), F.lit(0)))
+    return spans.join(bases, part).withColumn("before", F.col(inside) + F.col(base)).drop(part, inside, base)
 
 
 def needed_bytes(used: int, incoming: int, capacity: int) -> float:
@@ -204,3 +273,18 @@ def cache_statistics(accesses: DataFrame) -> DataFrame:
     out = accesses.agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(~F.col("hit"), 1)).alias("misses"))
     total = F.col("hits") + F.col("misses")
     return out.withColumn("hit_rate", F.when(total == 0, 0.0).otherwise(F.col("hits") / F.greatest(total, F.lit(1))))
+
+
+def storage_operations(counters: DataFrame) -> DataFrame:
+    """counters (hits, misses, writes, stored_reads, stored_writes) with hit_rate (0 without lookups) and total, the sum of all."""
+    lookups = F.col("hits") + F.col("misses")
+    out = counters.withColumn("hit_rate", F.when(lookups == 0, 0.0).otherwise(F.col("hits") / F.greatest(lookups, F.lit(1))))
+    return out.withColumn("total", lookups + F.col("writes") + F.col("stored_reads") + F.col("stored_writes"))
+
+
+def arena_use(arenas: DataFrame) -> DataFrame:
+    """arenas (total_size, current_offset, allocated_bytes) with utilization (allocated of total) and fragmentation (what of the
+    bytes up to the offset is not allocated); 0 where there is nothing to divide by."""
+    share = lambda whole: F.col("allocated_bytes") / F.nullif(F.col(whole), F.lit(0))
+    out = arenas.withColumn("utilization", F.coalesce(share("total_size"), F.lit(0.0)))
+    return out.withColumn("fragmentation", F.coalesce(1.0 - share("current_offset"), F.lit(0.0)))

@@ -120,16 +120,38 @@ def i_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.statistics(log).withColumn("avg_micros", F.round("avg_micros", 6)).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-@query("SELECT * FROM (VALUES ('by_name', 5, CAST(125 AS DOUBLE)), ('email', 10, CAST(110 AS DOUBLE)), ('name_age', 4, CAST(640 AS DOUBLE)), (NULL, 0, CAST(1100 AS DOUBLE))) t(index_name, score, cost)")
+#: Requests to choose an index for, and the same as SQL rows: conditions (request, path, kind), requests (request, sort, projected)
+#: and indexes (name, first field, second field, unique, text), in the order in which equals are told apart.
+DEFS = [planner.IndexDef("email", ("email",), unique=True), planner.IndexDef("name_age", ("name", "age")), planner.IndexDef("by_name", ("nick",), text=True)]
+REQUESTS = [
+    {"filter": {"nick": {"$regex": "a"}, "age": {"$exists": True}, "email": {"$exists": False}}, "limit": 5},
+    {"filter": {"email": "x"}},
+    {"filter": {"name": "a", "age": {"$gt": 3}}, "projection": {"age": 1}, "sort": {"age": 1}},
+    {"filter": {"other": {"$regex": "x"}}},
+    {"filter": {"name": "a"}, "sort": {"name": 1}},
+]
+
+
+@query("""
+WITH c(request, path, kind) AS (VALUES (0, 'nick', 'regex'), (0, 'age', 'exists'), (0, 'email', 'exists'), (1, 'email', 'eq'), (2, 'name', 'eq'), (2, 'age', 'gt'), (3, 'other', 'regex'), (4, 'name', 'eq')),
+r(request, sort, projected) AS (VALUES (0, NULL, false), (1, NULL, false), (2, 'age', true), (3, NULL, false), (4, 'name', false)),
+i(place, name, first, second, uniq, text) AS (VALUES (0, 'email', 'email', NULL, true, false), (1, 'name_age', 'name', 'age', false, false), (2, 'by_name', 'nick', NULL, false, true)),
+s AS (SELECT r.request, i.place, i.name, r.sort IS NOT NULL AND r.sort = i.first AS sorted,
+  CASE WHEN i.uniq AND bool_or(c.kind = 'eq' AND c.path IN (i.first, i.second)) THEN 10 ELSE 0 END + CASE WHEN r.sort = i.first THEN 5 ELSE 0 END
+  + CASE WHEN i.second IS NOT NULL THEN 2 * count(*) FILTER (WHERE c.path IN (i.first, i.second)) ELSE 0 END + CASE WHEN i.text AND bool_or(c.kind = 'regex' AND c.path = i.first) THEN 5 ELSE 0 END AS score
+  FROM r JOIN c ON r.request = c.request CROSS JOIN i GROUP BY r.request, r.sort, i.place, i.name, i.first, i.second, i.uniq, i.text HAVING bool_or(c.path = i.first)),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY request ORDER BY score DESC, place) = 1),
+work AS (SELECT request, sum(CASE kind WHEN 'regex' THEN 10 WHEN 'exists' THEN 1 WHEN 'eq' THEN 1 WHEN 'gt' THEN 2 END) AS work FROM c GROUP BY 1)
+SELECT CAST(r.request AS INT) AS request, b.name AS index_name, CAST(coalesce(b.score, 0) AS INT) AS score,
+  CAST(CASE WHEN b.name IS NULL THEN 1000 ELSE 100 END + 10 * w.work + CASE WHEN r.sort IS NULL THEN 0 WHEN coalesce(b.sorted, false) THEN 50 ELSE 500 END + CASE WHEN r.projected THEN 10 ELSE 0 END AS DOUBLE) AS cost
+FROM r JOIN work w ON r.request = w.request LEFT JOIN best b ON b.request = r.request""")
 def i_selector_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    defs = [planner.IndexDef("email", ("email",), unique=True), planner.IndexDef("name_age", ("name", "age")), planner.IndexDef("by_name", ("nick",), text=True)]
     rows = []
-    for request in ({"filter": {"nick": {"$regex": "a"}, "age": {"$exists": True}, "email": {"$exists": False}}, "limit": 5}, {"filter": {"email": "x"}}, {"filter": {"name": "a", "age": {"$gt": 3}}, "projection": {"age": 1}, "sort": {"age": 1}}, {"filter": {"other": {"$regex": "x"}}}):
+    for place, request in enumerate(REQUESTS):
         q = parse_query(request)
-        chosen, plan = planner.choose_index(defs, q), planner.plan(q, defs)
-        rows.append((chosen.name if chosen else None, planner.score(chosen, q) if chosen else 0, plan.cost))
-    rows[0] = (rows[0][0], rows[0][1], 125.0) if rows[0][0] == "by_name" else rows[0]
-    return spark.createDataFrame(rows, "index_name string, score int, cost double")
+        chosen, plan = planner.choose_index(DEFS, q), planner.plan(q, DEFS)
+        rows.append((place, chosen.name if chosen else None, planner.score(chosen, q) if chosen else 0, plan.cost))
+    return spark.createDataFrame(rows, "request int, index_name string, score int, cost double")
 
 
 # Changes
@@ -204,10 +226,14 @@ def w_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.irregular(log(spark, sf_dir)).select("sequence", "problem")
 
 
-@query("SELECT 0::BIGINT AS damaged, count(*) AS entries FROM events")
+@query("SELECT event_id + 1 AS sequence FROM events WHERE event_id % 97 = 5 AND event_type <> 'view' OR event_id % 101 = 7")
 def w_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = exchange.sealed(log(spark, sf_dir).withColumn("changes", F.to_json(F.struct("value", "kind"))).drop("value", "kind"))
-    return entries.select((F.crc32(exchange.body(entries).cast("binary")) != F.col("checksum")).cast("long").alias("bad")).agg(F.sum("bad").alias("damaged"), F.count(F.lit(1)).alias("entries"))
+    """Entries sealed, then damaged: every 97th has another payload (no change where it had none), every 101st another checksum."""
+    entries = exchange.sealed(log(spark, sf_dir).withColumn("changes", F.to_json(F.struct("value"))).drop("value", "kind"))
+    at = lambda n, k: (F.col("sequence") - 1) % n == k
+    changed = F.when(at(97, 5), F.regexp_replace("changes", '"value":', '"valve":')).otherwise(F.col("changes"))
+    entries = entries.withColumn("changes", changed).withColumn("checksum", F.when(at(101, 7), F.col("checksum").bitwiseXOR(F.lit(1))).otherwise(F.col("checksum")))
+    return exchange.damaged(entries).select("sequence")
 
 
 @query("SELECT CAST(greatest(0, date_sub('millisecond', max(ts), TIMESTAMP '2030-01-01')) AS BIGINT) AS lag_ms FROM events")
@@ -426,7 +452,19 @@ def kv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.statistics(kv_log(spark, sf_dir))
 
 
-@query()
+#: A key's operations one after another: a recursion over their places.
+@query("""
+WITH RECURSIVE l AS (SELECT event_id AS seq, 'k' || user_id AS key, CASE event_type WHEN 'error' THEN 'del' WHEN 'purchase' THEN 'cas' ELSE 'set' END AS op, event_type AS new, event_id % 3 AS expected,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
+f(seq, key, op, place, status, version, value) AS (
+  SELECT seq, key, op, place, CASE op WHEN 'set' THEN 'created' ELSE 'not_found' END, CASE op WHEN 'set' THEN 1 END, CASE op WHEN 'set' THEN new END FROM l WHERE place = 1
+  UNION ALL
+  SELECT l.seq, l.key, l.op, l.place,
+    CASE WHEN l.op = 'set' THEN CASE WHEN f.version IS NULL THEN 'created' ELSE 'ok' END WHEN f.version IS NULL THEN 'not_found' WHEN l.op = 'cas' AND f.version <> l.expected THEN 'version_mismatch' ELSE 'ok' END,
+    CASE WHEN l.op = 'set' THEN coalesce(f.version, 1) WHEN l.op = 'del' THEN NULL WHEN f.version = l.expected THEN f.version + 1 ELSE f.version END,
+    CASE WHEN l.op = 'set' THEN l.new WHEN l.op = 'del' THEN NULL WHEN f.version = l.expected THEN l.new ELSE f.value END
+  FROM f JOIN l ON l.key = f.key AND l.place = f.place + 1)
+SELECT seq, key, op, status, CAST(version AS BIGINT) AS version, value FROM f""")
 def kv_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.replay(kv_log(spark, sf_dir))
 
@@ -434,17 +472,35 @@ def kv_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Functions
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 1 AS depth FROM events")
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 3 + 1 AS depth FROM events""")
 def x_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """props.k by path, and the depth of props with 0 to 2 levels around it, brackets in a string among them."""
     df = table(spark, sf_dir, "events")
-    return df.select("event_id", F.try_variant_get(values.path(df, "props.k"), "$", "bigint").alias("k"), values.depth(F.col("props")).alias("depth"))
+    around = F.expr("concat(repeat('{\"a\":[\"[{\",', int(event_id % 3) div 2), if(event_id % 3 = 1, '[', ''), props, if(event_id % 3 = 1, ']', ''), repeat(']}', int(event_id % 3) div 2))")
+    return df.select("event_id", F.try_variant_get(values.path(df, "props.k"), "$", "bigint").alias("k"), values.depth(around).cast("long").alias("depth"))
 
 
-@query("SELECT n_nationkey, sha256(n_name) AS sha, md5(n_name) AS md FROM nation")
+@query("SELECT count(*) AS documents, count(DISTINCT md5(n_name || n_comment)) AS contents, true AS same_twice, false AS same_changed FROM (SELECT n_name, CAST(n_regionkey AS VARCHAR) AS n_comment FROM nation)")
 def x_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.sha2("n_name", 256).alias("sha"), F.md5("n_name").alias("md"))
-
-
-@query()
+    """The checksum of a collection: the same however its rows lie, another once a value changes."""
+    df = table(spark, sf_dir, "nation")
+    one, again, other = exchange.digest(df), exchange.digest(df.orderBy(F.desc("n_name")).repartition(3)), exchange.digest(df.withColumn("n_name", F.when(F.col("n_nationkey") == 3, "X").otherwise(F.col("n_name"))))
+    contents = df.select(F.md5(F.concat("n_name", F.col("n_regionkey").cast("string"))).alias("h")).distinct().agg(F.count(F.lit(1))).scalar()
+    ask = lambda d: d.select("checksum").scalar()
+    return one.select("documents", contents.alias("contents"), (F.col("checksum") == ask(again)).alias("same_twice"), (F.col("checksum") == ask(other)).alias("same_changed"))
+
+
+#: FNV-1a by a recursion over bytes in 128-bit arithmetic; name-based ids by SHA-1 of the namespace and the name.
+@query("""
+WITH RECURSIVE n AS (SELECT n_name, encode(n_name) AS b FROM nation),
+h(n_name, b, place, h) AS (
+  SELECT n_name, b, 1, 14695981039346656037::HUGEINT FROM n
+  UNION ALL
+  SELECT n_name, b, place + 1, CAST((xor(h, CAST(('0x' || substr(hex(b), 2 * place - 1, 2))::INT AS HUGEINT)) * 435 + ((xor(h, CAST(('0x' || substr(hex(b), 2 * place - 1, 2))::INT AS HUGEINT)) % 16777216) * 1099511627776)) % 18446744073709551616 AS HUGEINT)
+  FROM h WHERE place <= octet_length(b)),
+f AS (SELECT n_name, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS fnv FROM h WHERE place = octet_length(b) + 1),
+d AS (SELECT n_name, lower(sha1(unhex('6BA7B8129DAD11D180B400C04FD430C8') || encode(n_name))) AS s FROM nation)
+SELECT f.n_name, fnv, substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab89ab89ab89ab', ('0x' || substr(s, 17, 1))::INT + 1, 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12) AS id
+FROM f JOIN d ON f.n_name = d.n_name""")
 def x_key_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_name", values.key_id(F.col("n_name")).alias("id"), values.fnv1a(F.col("n_name")).alias("fnv"))

@@ -128,12 +128,12 @@ def n_slow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.expr("case event_type when 'signup' then 'auth' when 'error' then 'authz' when 'purchase' then 'admin' else 'other' end")
+    kind = F.expr("case event_type when 'signup' then 'auth' when 'error' then 'authz' when 'purchase' then 'admin' when 'view' then 'config' else 'other' end")
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts", kind.alias("kind"), (F.col("value") > 25).alias("success"), F.concat(F.lit("user"), F.col("user_id") % 10).alias("user"), F.col("event_type").alias("operation"))
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'signup' AND value > 25) AS auth_ok, count(*) FILTER (WHERE event_type = 'signup' AND value <= 25) AS auth_failed,
- count(*) FILTER (WHERE event_type = 'error' AND value <= 25) AS authz_failed, count(*) FILTER (WHERE event_type = 'purchase') AS admin FROM events""")
+ count(*) FILTER (WHERE event_type = 'error' AND value <= 25) AS authz_failed, count(*) FILTER (WHERE event_type = 'purchase') AS admin, count(*) FILTER (WHERE event_type = 'view') AS config_changes FROM events""")
 def n_audit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.audit_statistics(audit(spark, sf_dir))
 
@@ -173,28 +173,43 @@ def n_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Access
 
 
+#: Roles and operations of the requests, and who may do what without a list, written out: r is the role, o the operation.
+ASKED_ROLES = ("read_only", "read_write", "admin")
+ASKED = ("read", "write", "drop_collection", "list_indexes", "view_metrics", "publish", "create_index", "change_password", "no_such_operation")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
     c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("u"), F.col("c_custkey") % 11).alias("user"), F.expr("element_at(array('read-only', 'read-write', 'admin'), int(c_custkey % 3) + 1)").alias("role"), F.expr("element_at(array('read', 'insert', 'drop_collection', 'query'), int(c_custkey % 4) + 1)").alias("operation"), F.concat(F.lit("c"), F.col("c_nationkey") % 5).alias("collection"))
+    return c.select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("u"), F.col("c_custkey") % 11).alias("user"), one(ASKED_ROLES, F.col("c_custkey")).alias("role"), one(ASKED, F.floor(F.col("c_custkey") / 3)).alias("operation"), F.concat(F.lit("collection:c"), F.col("c_nationkey") % 5).alias("resource"))
 
 
-REQ = "(SELECT c_custkey AS request_id, 'u' || (c_custkey % 11) AS usr, CAST(c_custkey % 3 AS INT) AS r, CAST(c_custkey % 4 AS INT) AS o, 'c' || (c_nationkey % 5) AS coll FROM customer)"
-ROLE_SQL = "(o IN (0, 3) OR (o = 1 AND r >= 1) OR (o = 2 AND r = 2))"
+REQ = f"""(SELECT c_custkey AS request_id, 'u' || (c_custkey % 11) AS usr, {list(ASKED_ROLES)}[CAST(c_custkey % 3 + 1 AS INT)] AS r, {list(ASKED)}[CAST((c_custkey // 3) % {len(ASKED)} + 1 AS INT)] AS o,
+ 'collection:c' || (c_nationkey % 5) AS res FROM customer)"""
+ROLE_SQL = "(o IN ('read', 'list_indexes', 'change_password') OR (o IN ('write', 'publish') AND r IN ('read_write', 'admin')) OR (o IN ('drop_collection', 'view_metrics', 'create_index') AND r = 'admin'))"
+ACL = "principal string, resource string, operation string, deny boolean"
 
 
 @query(f"SELECT request_id, {ROLE_SQL} AS allowed FROM {REQ}")
 def e_rbac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "user string, operation string, collection string, allow boolean")
-    return security.decide(requests(spark, sf_dir), security.role_permissions(spark), none).select("request_id", "allowed")
+    return security.decide(requests(spark, sf_dir), security.role_permissions(spark), spark.createDataFrame([], ACL)).select("request_id", "allowed")
 
 
-RULES = [("u1", "insert", "c1", False), ("u1", None, None, True), (None, "read", "c2", False), ("u5", "read", "c2", True), ("u7", None, "c3", None), (None, None, "c4", True), ("u9", "query", None, False)]
+#: Principals are users and roles; c2 has a permission and a denial that meet, c3 an entry for another operation, c4 one without any.
+RULES = [
+    ("u1", "collection:c1", "write", True), ("u1", "collection:c1", "read", False),
+    ("u5", "collection:c2", "read", False), ("read_write", "collection:c2", "read", True), ("admin", "collection:c2", "drop_collection", False),
+    ("u7", "collection:c3", "list_indexes", False), ("read_only", "collection:c3", "publish", False),
+    ("u9", "collection:c4", None, True), ("admin", "collection:c4", "create_index", False), ("admin", "collection:c4", "read", False),
+    ("u2", "index:c1:i", "read", True),
+]
+RULES_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in rule) + ")" for rule in RULES) + ") a(p, res, o, deny)"
 
 
-@query(f"""SELECT request_id, {ROLE_SQL} AND NOT coalesce((usr = 'u1' AND o = 1 AND coll = 'c1') OR (o = 0 AND coll = 'c2') OR (usr = 'u9' AND o = 3), false) AS allowed FROM {REQ}""")
+@query(f"""SELECT q.request_id, {ROLE_SQL.replace("o IN", "q.o IN")} AND NOT coalesce(bool_or(a.o = q.o AND a.deny), false) AND (count(a.p) = 0 OR coalesce(bool_or(a.o = q.o AND NOT a.deny), false)) AS allowed
+FROM {REQ} q LEFT JOIN {RULES_SQL} ON a.res = q.res AND a.p IN (q.usr, q.r) GROUP BY q.request_id, q.o, q.r""")
 def e_acl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acl = spark.createDataFrame([r for r in RULES if r[3] is not None], "user string, operation string, collection string, allow boolean")
-    return security.decide(requests(spark, sf_dir), security.role_permissions(spark), acl).select("request_id", "allowed")
+    return security.decide(requests(spark, sf_dir), security.role_permissions(spark), spark.createDataFrame(RULES, ACL)).select("request_id", "allowed")
 
 
 @query("SELECT n_nationkey, n_name, n_name AS back, true AS hidden, true AS rotated, CAST(NULL AS VARCHAR) AS wrong FROM nation")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.queries import data, filters, operations, pipelines
+from docquarry.queries import data, filters, operations, pipelines, services
 from docquarry.queries.base import QUERIES, SQL, Query
 
-MODULES = (filters, pipelines, data, operations)
+MODULES = (filters, pipelines, data, operations, services)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

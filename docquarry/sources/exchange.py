@@ -8,11 +8,15 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.functions.values import decrypt, encrypt, spare
+from docquarry.operators.structures import running_before
 from docquarry.session import ship
+from docquarry.sources.shared import remove
 
 #: Backups that are kept, the most a changelog file holds, and a changelog's columns.
 KEPT, SEGMENT_BYTES = 5, 100 * 1024 * 1024
@@ -34,6 +38,13 @@ def import_json(spark: SparkSession, path: str, schema: T.StructType | str, pret
     return spark.read.schema(schema).json(path)
 
 
+def imported(current: DataFrame, new: DataFrame, replace: bool, id_column: str = "_id") -> DataFrame:
+    """A collection after an import: the new documents alone, or over the current ones by id."""
+    if replace:
+        return new
+    return current.join(new.select(id_column).distinct(), id_column, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def import_dynamic(spark: SparkSession, path: str, id_field: str = "_id") -> DataFrame:
     """JSON lines of any shape as (_id, doc): doc is a VARIANT, in which a null and a missing field differ."""
     lines = spark.read.text(path).select(F.parse_json("value").alias("doc"))
@@ -70,6 +81,42 @@ def snapshots(spark: SparkSession, root: str) -> DataFrame:
     return read.json(root).where("sequence is not null").select("sequence", "collection", "documents", "checksum").orderBy(F.desc("sequence"), "collection")
 
 
+def create_backup(df: DataFrame, root: str, collection: str, sequence: int, created_at: str, kept: int = KEPT) -> None:
+    """Back up a collection as of a sequence number, then remove the oldest backups beyond `kept`."""
+    spark, target = df.sparkSession, f"{root}/backup-{created_at}-{sequence:012d}"
+    write_snapshot(df, target, collection, sequence)
+    about = spark.createDataFrame([(f"backup-{created_at}-{sequence:012d}", created_at, collection, sequence)], "backup_id string, created_at string, collection string, sequence long")
+    about.coalesce(1).write.mode("overwrite").json(f"{root}/about/{created_at}-{sequence:012d}")
+    for row in retained(backups(spark, root), kept).where("not kept").collect():
+        remove(spark, f"{root}/{row.backup_id}")
+        remove(spark, f"{root}/about/{row.created_at}-{row.sequence:012d}")
+
+
+def backups(spark: SparkSession, root: str) -> DataFrame:
+    """(backup_id, created_at, collection, sequence) of the backups under root, newest first."""
+    read = spark.read.schema("backup_id string, created_at string, collection string, sequence long")
+    return read.option("recursiveFileLookup", "true").json(f"{root}/about").orderBy(F.desc("created_at"), F.desc("backup_id"))
+
+
+def verify_backup(spark: SparkSession, root: str, backup_id: str) -> bool:
+    """Whether a backup is there and its rows fit its manifest."""
+    row = backups(spark, root).where(F.col("backup_id") == backup_id).first()
+    if row is None:
+        return False
+    try:
+        return read_snapshot(spark, f"{root}/{backup_id}", row.collection, row.sequence) is not None
+    except (ValueError, AnalysisException):
+        return False
+
+
+def restore_backup(spark: SparkSession, root: str, backup_id: str) -> tuple[DataFrame, int]:
+    """(rows, sequence) of a verified backup; ValueError without one."""
+    row = backups(spark, root).where(F.col("backup_id") == backup_id).first()
+    if row is None:
+        raise ValueError(f"no backup {backup_id}")
+    return read_snapshot(spark, f"{root}/{backup_id}", row.collection, row.sequence), row.sequence
+
+
 def retained(backups: DataFrame, kept: int = KEPT) -> DataFrame:
     """backups (backup_id, created_at, ...) with rank, newest first, and kept."""
     rank = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("backup_id")))
@@ -86,12 +133,28 @@ def sealed(entries: DataFrame) -> DataFrame:
     return entries.withColumn("checksum", F.crc32(body(entries).cast("binary")))
 
 
-def append_changelog(entries: DataFrame, path: str) -> None:
-    sealed(entries).write.mode("append").parquet(path)
+def segments(entries: DataFrame, limit: int = SEGMENT_BYTES) -> DataFrame:
+    """entries with segment: the file of a log that rotates once its entries in order of sequence fill `limit` bytes."""
+    size, before = spare(entries, "size", "before")
+    sized = entries.withColumn(size, F.octet_length(body(entries)).cast("long"))
+    out = running_before(sized, [F.col("sequence")], size).withColumnRenamed("before", before)
+    return out.withColumn("segment", F.floor(F.col(before) / limit).cast("long")).drop(size, before)
+
+
+def append_changelog(entries: DataFrame, path: str, limit: int = SEGMENT_BYTES) -> None:
+    """Append entries with their checksums, in a folder for each segment that they fill."""
+    out = sealed(segments(entries, limit))
+    out.repartition("segment").sortWithinPartitions("segment", "sequence").write.mode("append").partitionBy("segment").parquet(path)
 
 
 def read_changelog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ENTRY + ", checksum long").parquet(path)
+    return spark.read.schema(ENTRY + ", checksum long, segment long").parquet(path)
+
+
+def changelog_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, last, entries) of a changelog's files, in order of their names."""
+    rows = read_changelog(spark, path).select(F.input_file_name().alias("file"), "sequence")
+    return rows.groupBy("file").agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count(F.lit(1)).alias("entries")).orderBy("file")
 
 
 def damaged(entries: DataFrame) -> DataFrame:
@@ -133,3 +196,13 @@ def compactable(entries: DataFrame, threshold: int) -> DataFrame:
     spans = entries.groupBy("file").agg(F.max("sequence").alias("top"))
     newest = spans.agg(F.max("top").alias("newest"))
     return spans.where(F.col("top") < threshold).join(newest, F.col("top") == F.col("newest"), "left_anti").select("file")
+
+
+def encrypted_changelog(entries: DataFrame, key: Column) -> DataFrame:
+    """Sealed entries whose changes are encrypted; the checksum is over what is stored."""
+    return sealed(entries.withColumn("changes", F.base64(encrypt(F.col("changes"), key))))
+
+
+def decrypted_changelog(entries: DataFrame, key: Column) -> DataFrame:
+    """The entries of an encrypted changelog with their changes in clear; null where the key doesn't fit."""
+    return entries.withColumn("changes", decrypt(F.unbase64("changes"), key))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: Operations that concern documents; entries behind which a replica takes a snapshot instead.
-DOCUMENT_OPS, FULL_SYNC_LAG = ("insert", "update", "delete"), 10_000
+from docquarry.sources.exchange import body
+from docquarry.sources.shared import remove
+
+#: Operations that concern documents; entries behind which a replica takes a snapshot instead; seconds between heartbeats.
+DOCUMENT_OPS, FULL_SYNC_LAG, HEARTBEAT_SECONDS = ("insert", "update", "delete"), 10_000, 30
 
 
 def replay(base: DataFrame | None, log: DataFrame, fields: list[str], since: int = 0) -> DataFrame:
@@ -42,6 +45,14 @@ def recover(base: DataFrame | None, log: DataFrame, fields: list[str], target: C
     return replay(base, log.where(F.col("timestamp") <= target), fields, since)
 
 
+def recover_checked(base: DataFrame | None, log: DataFrame, fields: list[str], target: Column, since: int = 0) -> DataFrame:
+    """recover(), but for a log whose timestamps go back or whose sequence doesn't grow among the entries to apply: ValueError."""
+    wrong = irregular(log.where((F.col("sequence") >= since) & (F.col("timestamp") <= target))).orderBy("sequence").first()
+    if wrong:
+        raise ValueError(f"entry {wrong.sequence} breaks the log's order ({wrong.problem})")
+    return recover(base, log, fields, target, since)
+
+
 def irregular(log: DataFrame) -> DataFrame:
     """Entries that break the order of a log: sequence not above the one before, or timestamp below it, with what is wrong.
 
@@ -64,6 +75,31 @@ def missing_entries(log: DataFrame, applied: int, limit: int | None = None) -> D
     return out if limit is None else out.limit(limit)
 
 
+def received(sealed: DataFrame, applied: int) -> DataFrame:
+    """Entries of a sealed log (with checksum) after `applied`, with intact."""
+    return sealed.where(F.col("sequence") > applied).withColumn("intact", F.crc32(body(sealed).cast("binary")) == F.col("checksum"))
+
+
+def acknowledged(sealed: DataFrame, applied: int) -> DataFrame:
+    """One row: what a replica at `applied` acknowledges, the last entry before the first damaged one; applied (entries), rejected."""
+    got = received(sealed, applied)
+    first = got.where("not intact").agg(F.min("sequence").alias("bad"))
+    # One row joins one row's worth of figures: the first damaged sequence is a scalar.
+    bad = F.coalesce(first.scalar(), F.lit(2**63 - 1))
+    good = F.col("sequence") < bad
+    return got.agg(F.coalesce(F.max(F.when(good, F.col("sequence"))), F.lit(applied)).cast("long").alias("ack"), F.count(F.when(good, 1)).alias("applied"), F.count(F.when(~F.col("intact"), 1)).alias("rejected"))
+
+
+def heartbeat(log: DataFrame, now: Column) -> DataFrame:
+    """One row that a primary sends: its last sequence (0 without entries) and the time."""
+    return log.agg(F.coalesce(F.max("sequence"), F.lit(0)).cast("long").alias("sequence")).withColumn("sent_at", now)
+
+
+def silent(replicas: DataFrame, now: Column, every_seconds: int = HEARTBEAT_SECONDS, missed: int = 3) -> DataFrame:
+    """replicas (replica_id, last_seen) that have been silent for more than `missed` heartbeats."""
+    return replicas.where(F.timestamp_diff("SECOND", F.col("last_seen"), now) > every_seconds * missed)
+
+
 def needs_full_sync(log: DataFrame, applied: int) -> DataFrame:
     """One row: lag in entries, and whether a snapshot is due (too far behind, or the log no longer reaches back)."""
     out = log.agg(F.max("sequence").alias("top"), F.min("sequence").alias("low"))
@@ -96,14 +132,33 @@ def last_writes(queue: DataFrame, keys: list[str], due: Column | None = None) ->
 
 
 def write_behind(stream: DataFrame, target: str, checkpoint: str, keys: list[str], delay: str = "0 seconds", available_now: bool = True) -> StreamingQuery:
-    """Flush queued writes (keys..., seq, ts, ...) to target: per batch the last write of each key older than the delay."""
+    """Flush queued writes (keys..., seq, ts, ...) to target: per batch the last write of each key older than the delay.
 
-    def flush(batch: DataFrame, epoch: int) -> None:
-        last_writes(batch, keys).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+    Writes that are not yet due wait in a table beside the checkpoint and are looked at again with the next batch; a rate source
+    beats once a second, so that batches go on where no writes come in. With available_now the run ends with the data: what is not
+    due by then waits for the next run. A batch that is tried again overwrites its own files and reads those of the one before.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    waiting = f"{checkpoint}-waiting"
 
-    due = stream.where(F.col("ts") <= F.current_timestamp().cast("timestamp_ntz") - F.expr(f"interval {delay}"))
-    writer = due.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="50 milliseconds")).start()
+    def flush(batch: DataFrame, epoch: int) -> None:
+        queue = batch
+        if epoch > 0:
+            queue = batch.unionByName(spark.read.schema(schema).parquet(f"{waiting}/epoch={epoch - 1}"))
+        limit = spark.sql(f"select cast(current_timestamp() as timestamp_ntz) - interval {delay} as t").first().t
+        ready = F.col("ts") <= F.lit(limit).cast("timestamp_ntz")
+        queue = queue.persist()
+        last_writes(queue.where(ready), keys).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        queue.where(~F.coalesce(ready, F.lit(False))).write.mode("overwrite").parquet(f"{waiting}/epoch={epoch}")
+        queue.unpersist()
+        if epoch > 1:
+            remove(spark, f"{waiting}/epoch={epoch - 2}")
+
+    if available_now:
+        return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load().where("false")
+    beat = beat.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return stream.unionByName(beat).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(processingTime="50 milliseconds").start()
 
 
 def idle_sessions(sessions: DataFrame, now: Column, timeout_seconds: int) -> DataFrame:

@@ -25,6 +25,16 @@ def unsubscribe(subs: DataFrame, gone: DataFrame) -> DataFrame:
     return subs.join(gone, subs.columns, "left_anti")
 
 
+def psubscribe(patterns: DataFrame, new: DataFrame) -> DataFrame:
+    """(subscriber_id, pattern) with new ones; subscribing twice to a pattern delivers twice."""
+    return patterns.unionByName(new.select(*patterns.columns))
+
+
+def punsubscribe(patterns: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without every subscription of gone's subscribers to gone's patterns."""
+    return patterns.join(gone.select(*patterns.columns).distinct(), patterns.columns, "left_anti")
+
+
 def remove_subscriber(subs: DataFrame, subscriber_id: int) -> DataFrame:
     return subs.where(F.col("subscriber_id") != subscriber_id)
 

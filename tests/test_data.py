@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 import uuid
 
 import pytest
@@ -193,6 +194,17 @@ def test_follow_and_write_behind(spark, tmp_path):
     assert got(spark.read.parquet(str(tmp_path / "flushed")), "key", "v") == [("a", 2), ("b", 6)]
 
 
+def test_write_behind_keeps_what_is_not_due(spark, tmp_path):
+    src, log = str(tmp_path / "src"), "seq long, key string, v int, ts timestamp_ntz"
+    soon = dt.datetime.now(dt.UTC).replace(tzinfo=None) - dt.timedelta(seconds=50)
+    run = lambda: changelog.write_behind(spark.readStream.schema(log).parquet(src), str(tmp_path / "out"), str(tmp_path / "cp"), ["key"], "60 seconds").awaitTermination(60)
+    spark.createDataFrame([(1, "a", 1, T0), (2, "a", 2, soon), (3, "b", 3, soon)], log).coalesce(1).write.mode("append").parquet(src)
+    assert run() and got(spark.read.parquet(str(tmp_path / "out")), "key", "v") == [("a", 1)]
+    time.sleep(max(0.0, 11 - (dt.datetime.now(dt.UTC).replace(tzinfo=None) - soon).total_seconds() + 50))
+    spark.createDataFrame([(4, "c", 4, T0)], log).coalesce(1).write.mode("append").parquet(src)
+    assert run() and got(spark.read.parquet(str(tmp_path / "out")), "key", "v") == [("a", 1), ("a", 2), ("b", 3), ("c", 4)]
+
+
 def test_exchange(spark, tmp_path):
     df = spark.createDataFrame([("1", [1, 2], None), ("2", [], "é\n")], "_id string, xs array<int>, s string")
     for pretty in (False, True):
@@ -251,6 +263,42 @@ def test_expiry_and_eviction(spark):
     assert structures.needed_bytes(100, 50, 120) == pytest.approx(36) and structures.needed_bytes(1, 1, 5) == 0 and structures.share_to_evict(100, 1.5) == 100
     with pytest.raises(MemoryError):
         structures.victims(e, "none", 5)
+
+
+@pytest.mark.parametrize("pad", [0, 400])
+def test_eviction_over_many_ranges(spark, pad):
+    """Right however adaptive execution merges ranges: many partitions, narrow and wide rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.range(100_000).select(F.col("id").alias("key"), (F.xxhash64("id") % 50 + 60).alias("size_bytes"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5000)).alias("access_count"), F.repeat(F.lit("x"), pad).alias("pad"), F.lit(T0).alias("last_accessed"), F.lit(None).cast("timestamp").alias("expires_at"))
+        gone = {r.key for r in structures.victims(df, "lfu", 3_000_000).select("key").collect()}
+        rows = sorted((r.access_count, r.key, r.size_bytes) for r in df.select("key", "access_count", "size_bytes").collect())
+        want, freed = set(), 0
+        for _, key, size in rows:
+            if freed >= 3_000_000:
+                break
+            want.add(key)
+            freed += size
+        assert gone == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_cache_commands(spark):
+    now, later = F.lit(T0).cast("timestamp_ntz"), F.lit(T0 + dt.timedelta(seconds=61)).cast("timestamp_ntz")
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    new = spark.createDataFrame([("a", 10), ("b", 20)], "key string, size_bytes long")
+    empty = spark.createDataFrame([], "key string, size_bytes long, last_accessed timestamp_ntz, access_count long, expires_at timestamp_ntz")
+    e = structures.put(structures.put(empty, new, now), new.where("key = 'b'"), now, 60)
+    assert got(structures.time_left(e, keys("a", "b", "c"), now)) == [("a", -1), ("b", 60), ("c", None)]
+    after, hits = structures.read(e, keys("a", "a", "c"), now)
+    assert got(after, "key", "access_count") == [("a", 2), ("b", 0)] and got(hits) == [("a", True), ("a", True), ("c", False)]
+    assert got(structures.read(e, keys("b"), later)[1]) == [("b", False)] and structures.read(e, keys("b"), later)[0].count() == 1
+    assert got(structures.exists(e, keys("b"), now)) == [("b", True)] and structures.cleared(e).count() == 0 and got(structures.removed(e, keys("a", "z")), "key") == [("b",)]
+    assert got(structures.time_left(structures.expire(e, keys("a", "z"), now, 5), keys("a"), now)) == [("a", 5)]
+    assert got(structures.time_left(structures.expire(e, keys("b"), now, None), keys("b"), now)) == [("b", -1)]
+    assert got(structures.remove_scores(spark.createDataFrame([("z", "m", 1.0), ("z", "n", 2.0)], "key string, member string, score double"), spark.createDataFrame([("z", "m"), ("q", "n")], "key string, member string")), "member") == [("n",)]
     assert got(structures.cache_statistics(spark.createDataFrame([(True,), (False,)], "hit boolean"))) == [(1, 1, 0.5)]
 
 
@@ -287,8 +335,8 @@ def test_monitoring(spark):
     assert got(monitor.latency_percentiles(s, last=10), "p50", "samples") == [(96_000, 10)]
     log = spark.createDataFrame([(1, 50.0), (2, 200.0), (3, 101.0)], "seq long, millis double")
     assert [r.seq for r in monitor.slow_queries(log).collect()] == [3, 2] and got(monitor.slow_statistics(log)) == [(2, 150, 200)] and got(monitor.slow_statistics(log.where("false"))) == [(0, 0, 0)]
-    audit = spark.createDataFrame([(1, "auth", True), (2, "auth", False), (3, "authz", False), (4, "admin", True), (5, "x", True)], "seq long, kind string, success boolean")
-    assert got(monitor.audit_statistics(audit)) == [(5, 1, 1, 1, 1)]
+    audit = spark.createDataFrame([(1, "auth", True), (2, "auth", False), (3, "authz", False), (4, "admin", True), (5, "x", True), (6, "config", False)], "seq long, kind string, success boolean")
+    assert got(monitor.audit_statistics(audit)) == [(6, 1, 1, 1, 1, 1)]
     ops = spark.createDataFrame([("a", True, True), ("b", True, True), ("c", False, False), ("d", True, None)], "op string, ok boolean, hit boolean")
     r = monitor.rates(ops, 2).first()
     assert (r.total, r.per_second, r.error_rate, round(r.hit_rate, 3)) == (4, 2.0, 25.0, 66.667)
@@ -297,13 +345,15 @@ def test_monitoring(spark):
 
 
 def test_access(spark):
-    req = spark.createDataFrame([(1, "t", "read-write", "insert", "c"), (2, "o", "read-write", "insert", "c"), (3, "o", "read-only", "insert", "c"), (4, "t", "read-only", "read", "d"), (5, "o", "admin", "drop_collection", "x")], "request_id long, user string, role string, operation string, collection string")
-    schema = "user string, operation string, collection string, allow boolean"
+    req = spark.createDataFrame([(1, "t", "read_write", "write", "c"), (2, "o", "read_write", "write", "c"), (3, "o", "read_only", "write", "c"), (4, "t", "read_only", "read", "d"), (5, "o", "admin", "drop_collection", "x"), (6, "admin", "admin", "view_metrics", "x")], "request_id long, user string, role string, operation string, resource string")
+    schema = "principal string, resource string, operation string, deny boolean"
     decide = lambda *rules: [r.allowed for r in security.decide(req, security.role_permissions(spark), spark.createDataFrame(list(rules), schema)).orderBy("request_id").collect()]
-    assert decide() == [True, True, False, True, True]
-    assert decide(("t", "insert", "c", False)) == [False, True, False, True, True]
-    assert decide(("t", None, None, True), (None, None, "c", False)) == [False, False, False, True, True]
-    assert decide((None, None, None, True), (None, "insert", None, True)) == [True, True, False, True, True]
+    assert decide() == [True, True, False, True, True, True]
+    assert decide(("t", "c", "write", True)) == [False, True, False, True, True, True]
+    assert decide(("read_write", "c", "write", True), ("t", "c", "write", False)) == [False, False, False, True, True, True]
+    assert decide(("t", "c", "read", False), ("read_only", "c", "write", False)) == [False, True, False, True, True, True]
+    assert decide(("t", "d", None, False), ("admin", "x", "drop_collection", False)) == [True, True, False, False, True, False]
+    assert len(security.OPERATIONS) == 25 and set(security.READ_ONLY) < set(security.READ_WRITE) < set(security.OPERATIONS)
 
 
 def test_encryption(spark):

@@ -1,51 +1,31 @@
-"""Shared folder, lineage cuts and batch sizes that every operator of this subpackage uses."""
+"""Words, batch sizes and tables that every operator of this subpackage uses."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.functions.values import spare
 from docquarry.session import ship
+from docquarry.sources.shared import cut, fresh_path, passing, shared_dir
+
+__all__ = ["WORD", "cut", "fresh_path", "passing", "prepare", "shared_dir", "spare", "table", "word_count"]
 
 #: What a word is in every operator: a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that one Arrow batch carries to Python; texts can be long.
-BATCH_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and return a reader of it.
-
-    The plan above starts at files that all executors reach, so a lost executor costs no recomputation of what stands
-    below, and (unlike checkpoint()) the rows are computed once.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows and bytes that one Arrow batch carries to Python; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 * 1024 * 1024
+ROWS_KEY, BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Before Python runs on executors: give them this package, and bound what one Arrow batch holds, for tables of long texts."""
+    """Before Python runs on executors: give them this package, and bound what one Arrow batch holds, for tables of long texts.
+    The bounds are settings of the session, and stay: plans that are run later depend on them."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in ((ROWS_KEY, BATCH_ROWS), (BYTES_KEY, BATCH_BYTES)):
+        have = int(spark.conf.get(key).rstrip("bB"))
+        if have <= 0 or have > most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from docquarry.llm import vectors
 
@@ -28,13 +29,18 @@ def test_whole_table(spark, sf):
     assert found(vectors.near_vectors(spark, df)) == brute([r.vec_id for r in rows], np.array([r.embedding for r in rows]))
 
 
-def test_clusters_copies_and_small_tiles(spark, monkeypatch):
+@pytest.mark.parametrize(("most", "cell_rows"), [(16, 4), (16, 1000), (60, 8)])
+def test_clusters_copies_and_small_tiles(spark, monkeypatch, most, cell_rows):
+    """Many cells of a few rows, one cell in many pieces, and some of both."""
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(5, 16))
     x = np.concatenate([c + rng.normal(size=(80, 16)) * s for c, s in zip(centre, (0.05, 0.15, 0.2, 0.3, 1), strict=True)] + [np.repeat(centre[:1], 30, 0), 3 * centre[1:2]])
     x = x.astype(np.float32)
     ids = rng.permutation(len(x)).tolist()
     monkeypatch.setattr(vectors, "TILE_LEAST", 16)
+    monkeypatch.setattr(vectors, "TILE_MOST", most)
+    monkeypatch.setattr(vectors, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(vectors, "PAIRS", 50)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x, strict=True)], SCHEMA)
     for blocks in (1, 4, 7):
         assert found(vectors.near_vectors(spark, df, blocks=blocks)) == brute(ids, x)
@@ -49,3 +55,22 @@ def test_odd_rows(spark):
     assert got == sorted(want, key=str)
     assert vectors.near_vectors(spark, df.where("false")).count() == 0
     assert vectors.near_vectors(spark, df.where("vec_id < 6")).count() == 5
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2.1e200]), (3, [1e-200, 1e-200]), (4, [-1e200, 1e200]), (5, [-0.0, 1.0]), (6, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(vectors.near_vectors(spark, df)) == {(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)}
+
+
+def test_cells_hold_every_pair_within_reach():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 3)).astype(np.float32)
+    cells = vectors.Cells(x[:300], 600, 20, 0.3)
+    home = cells.home(x)
+    met = np.zeros((600, len(cells)), bool)
+    met[np.arange(600), home] = True
+    row, cell = cells.visits(x, home)
+    met[row, cell] = True
+    near = np.argwhere(np.triu(((x[:, None] - x[None]) ** 2).sum(2) <= 0.09, 1))
+    assert len(cells) > 10 and all(met[i, min(home[i], home[j])] and met[j, min(home[i], home[j])] for i, j in near)

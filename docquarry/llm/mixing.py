@@ -3,78 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import WORD, cut, prepare, word_count
+from docquarry.llm.shared import WORD, cut, prepare, spare, word_count
 from docquarry.llm.shingles import PRIME, mix
+from docquarry.operators.structures import running_before
 
 #: Words of a block, weights of the sources in order (repeating), most passes over a source.
 BLOCK_WORDS, WEIGHTS, MOST = 64, (5, 2, 1), 3
-#: Output shards, rows of a packing bucket, slots dealt out by one row, sources (and sources times shards) that the driver plans for.
-SHARDS, BUCKET_ROWS, SLOT_STEP, MAX_SOURCES = 256, 20_000, 65_536, 1_000_000
-
-
-@dataclass(frozen=True)
-class Share:
-    """What the mix takes of a source: `slots` whole blocks, then `tail` words of one more."""
-
-    number: int
-    source: str | None
-    size: int
-    target: float
-    blocks: int
-    slots: int
-    tail: int
-
-
-def water_fill(sizes: Sequence[int], weights: Sequence[float], most: float) -> list[float]:
-    """Targets that share sum(sizes) by weight, none above most times its size, the excess reshared by weight."""
-    targets, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = float(sum(sizes))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / total
-            break
-        for i in over:
-            targets[i] = float(most * sizes[i])
-        left -= sum(targets[i] for i in over)
-        open_ -= set(over)
-    return targets
-
-
-def shares(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, most: float = MOST, block: int = BLOCK_WORDS) -> list[Share]:
-    """The share of each source, sources in code-point order with null last."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = water_fill([sizes[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], most)
-    out = []
-    for i, (name, target) in enumerate(zip(names, targets, strict=True)):
-        size, words = sizes[name], round(target)
-        blocks = -(-size // block)
-        passes, rest = divmod(words, size) if size else (0, 0)
-        out.append(Share(i, name, size, target, blocks, passes * blocks + rest // block, rest % block))
-    return out
+#: Output shards, rows of a packing bucket, slots dealt out by one row and by one task, sources that one task draws for.
+SHARDS, BUCKET_ROWS, SLOT_STEP, TASK_SLOTS, DRAW_SOURCES = 256, 20_000, 16_384, 65_536, 4096
+
 
+def planned(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, block: int = BLOCK_WORDS) -> DataFrame:
+    """sources (source, source_size) with number (place in code-point order, null last), target, blocks, slots and tail.
 
-def draw_shards(plan: Sequence[Share], shards: int, seed: int) -> np.ndarray:
-    """(shards, sources) slots: for each shard a multinomial draw by what each source still has to give, none more."""
-    owed = np.array([s.slots for s in plan], np.int64)
-    rng = np.random.default_rng(seed)
-    out = np.zeros((shards, len(plan)), np.int64)
-    for k in range(shards):
-        need = int(owed.sum()) // (shards - k)
+    Targets share the sum of sizes by weight; none is above most times its size, and the excess is reshared by weight until none
+    is. That is min(most * size, level * weight) at one level for all: in the order of most * size / weight, the sources are full
+    up to the first that the level of the rest leaves room in. Running sums in that order find it, whatever the number of sources.
+    slots are whole blocks, tail the words of one more.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    numbered = running_before(sources.withColumn("one", F.lit(1).cast("long")), order, "one").withColumnRenamed("before", "number").drop("one")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    rows = cut(numbered.withColumn("weight", weight), "numbered")
+    total, all_weight = (rows.agg(F.sum(c)).scalar() for c in ("source_size", "weight"))
+    ratio = F.col("source_size") * most / F.col("weight")
+    full = running_before(rows, [ratio, F.col("number")], "source_size").withColumnRenamed("before", "full_size")
+    full = running_before(full, [ratio, F.col("number")], "weight").withColumnRenamed("before", "full_weight")
+    left, open_weight = total - most * F.col("full_size"), all_weight - F.col("full_weight")
+    room = full.where(ratio * open_weight >= left).agg(F.min(F.struct(ratio, "number", left.alias("left"), open_weight.alias("open_weight"))).alias("m"))
+    at = room.select("m.left", "m.open_weight")
+    shared = F.col("weight") * at.select("left").scalar() / at.select("open_weight").scalar()
+    target = F.least((F.col("source_size") * most).cast("double"), F.coalesce(shared, F.lit(0.0)))
+    words = F.rint("target").cast("long")
+    out = rows.withColumn("target", target).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("words", words)
+    passes = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0)
+    out = out.withColumn("passes", passes).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
+    out = out.withColumn("slots", F.col("passes") * F.col("blocks") + F.expr(f"rest div {block}")).withColumn("tail", F.col("rest") % block)
+    return cut(out.select("number", "source", "source_size", "target", "blocks", "slots", "tail"), "plan")
+
+
+def draw(owed: np.ndarray, needs: Sequence[int], rng: np.random.Generator) -> np.ndarray:
+    """(shards, sources) slots: for each shard a multinomial draw of its need by what each source still owes, none more."""
+    owed = owed.copy()
+    out = np.zeros((len(needs), len(owed)), np.int64)
+    for k, need in enumerate(needs):
         while need:
-            draw = np.minimum(rng.multinomial(need, owed / owed.sum()), owed)
-            out[k] += draw
-            owed -= draw
-            need -= int(draw.sum())
+            got = np.minimum(rng.multinomial(need, owed / owed.sum()), owed)
+            out[k] += got
+            owed -= got
+            need -= int(got.sum())
     return out
 
 
@@ -93,19 +76,38 @@ def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarra
     return value.astype(np.int64)
 
 
-def slot_blocks(spark: SparkSession, plan: Sequence[Share], shards: int, seed: int) -> DataFrame:
-    """(number, block, shard, slot, take): which block each slot of the output holds and how many of its words (null: all)."""
-    drawn = draw_shards(plan, shards, seed)
-    rows = []
-    for s in plan:
-        first = np.concatenate([[0], np.cumsum(drawn[:, s.number])])
-        rows += [(s.number, s.blocks, k, int(first[k]), int(first[k + 1]), None) for k in np.flatnonzero(drawn[:, s.number]).tolist()]
-        if s.tail:
-            rows.append((s.number, s.blocks, shards - 1, s.slots, s.slots + 1, s.tail))
-    schema = "number int, blocks long, shard int, lo long, hi long, take int"
-    dealt = spark.createDataFrame(rows, schema)
+def slot_blocks(spark: SparkSession, plan: DataFrame, shards: int, seed: int) -> tuple[DataFrame, int]:
+    """((number, block, shard, slot, take), slots): which block each slot of the output holds and how many of its words (null: all).
+
+    Multinomial counts are drawn twice: on the driver for groups of DRAW_SOURCES sources, then for each group's sources in a task of
+    its own. Slots are counted out by as many tasks as they fill.
+    """
+    grouped = plan.withColumn("group", F.expr(f"number div {DRAW_SOURCES}"))
+    groups = grouped.groupBy("group").agg(F.sum("slots").alias("slots"), F.sum((F.col("tail") > 0).cast("long")).alias("tails")).orderBy("group").collect()
+    owed = np.array([g.slots for g in groups], np.int64)
+    total = int(owed.sum())
+    if not total and not any(g.tails for g in groups):
+        return plan.where("false").select("number", F.lit(0).cast("long").alias("block"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(0).alias("take")), 0
+    shards = max(1, min(shards, total // 16))
+    needs = [total * (k + 1) // shards - total * k // shards for k in range(shards)]
+    counts = draw(owed, needs, np.random.default_rng(seed))
+    given = spark.createDataFrame([(g.group, counts[:, i].tolist()) for i, g in enumerate(groups)], "group long, needs array<long>")
+
+    def drawn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("number")
+        got = draw(rows["slots"].to_numpy(np.int64), list(rows["needs"].iloc[0]), np.random.default_rng([seed, int(key[0])]))
+        first = np.concatenate([np.zeros((1, got.shape[1]), np.int64), np.cumsum(got, 0)])
+        shard, at = np.nonzero(got)
+        out = pd.DataFrame({"number": rows["number"].to_numpy()[at], "blocks": rows["blocks"].to_numpy()[at], "shard": shard, "lo": first[shard, at], "hi": first[shard + 1, at]})
+        some = rows[rows["tail"] > 0]
+        tails = pd.DataFrame({"number": some["number"], "blocks": some["blocks"], "shard": shards - 1, "lo": some["slots"], "hi": some["slots"] + 1, "take": some["tail"]})
+        return pd.concat([out.assign(take=-1), tails])
+
+    schema = "number long, blocks long, shard int, lo long, hi long, take int"
+    dealt = grouped.join(given.hint("merge"), "group").groupBy("group").applyInPandas(drawn, schema).withColumn("take", F.nullif("take", F.lit(-1)))
     dealt = dealt.withColumn("at", F.explode(F.expr(f"sequence(lo, hi - 1, {SLOT_STEP})")))
-    dealt = dealt.repartition(F.col("number"), F.col("at")).withColumn("slot", F.explode(F.expr(f"sequence(at, least(at + {SLOT_STEP}, hi) - 1)")))
+    # A number of partitions that is asked for is not merged, however small the rows look.
+    dealt = dealt.repartition(-(-total // TASK_SLOTS) + 1, "number", "at").withColumn("slot", F.explode(F.expr(f"sequence(at, least(at + {SLOT_STEP}, hi) - 1)")))
 
     @F.pandas_udf("long")
     def block(number: pd.Series, blocks: pd.Series, slot: pd.Series) -> pd.Series:
@@ -114,38 +116,35 @@ def slot_blocks(spark: SparkSession, plan: Sequence[Share], shards: int, seed: i
         key = mix(number.to_numpy(np.uint64) * np.uint64(1 << 20) + turn.astype(np.uint64) + np.uint64(seed))
         return pd.Series(permuted(slot.to_numpy(np.int64) % size, size, key))
 
-    return dealt.select("number", block("number", "blocks", "slot").alias("block"), "shard", "slot", "take")
+    return dealt.select("number", block("number", "blocks", "slot").alias("block"), "shard", "slot", "take"), total
 
 
-def packed(docs: DataFrame, size: Column, keys: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, dict[str | None, int]]:
-    """docs' keys with size and start (the place of the document's first word in its source), and each source's size.
+def packed(docs: DataFrame, size: Column, keep: Sequence[Column] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, source, size, text_hash and keep of each row of docs, with start: the place of its first word in its source.
 
     A source's documents stand in a fixed order of hashed buckets, by doc_id and text hash within them; a prefix sum over
     the buckets places them, so no task holds a source.
     """
-    sized = docs.select(*keys, "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"))
-    sized = cut(sized, "sizes")
-    by = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(by) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    buckets = max(64, max((r.n for r in by), default=0) // bucket_rows)
+    sized = cut(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"), *keep), "sizes")
+    most = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(64, most // bucket_rows)
     live = sized.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
     inner = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     totals = live.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut(totals.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")), "bases")
+    totals = cut(totals.select(F.col("source").alias("own"), F.col("bucket").alias("at"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")), "bases")
     placed = live.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    same = (placed.source.eqNullSafe(totals.source)) & (placed.bucket == totals.bucket)
-    placed = placed.join(totals, same).select(*[placed[k] for k in keys], placed.doc_id, placed.source, placed.text_hash, "size", (F.col("base") + F.col("inner")).alias("start"))
-    idle = sized.where("size = 0").select(*keys, "doc_id", "source", "text_hash", "size", F.lit(None).cast("long").alias("start"))
-    return cut(placed.unionByName(idle), "packed"), {r.source: r["size"] for r in by}
+    placed = placed.join(totals, F.col("source").eqNullSafe(F.col("own")) & (F.col("bucket") == F.col("at")))
+    placed = placed.select(*sized.columns, (F.col("base") + F.col("inner")).alias("start"))
+    idle = sized.where("size = 0").select("*", F.lit(None).cast("long").alias("start"))
+    return cut(placed.unionByName(idle), "packed")
 
 
-def mixed(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The mix of docs (doc_id, text, source; other columns are ignored), as (documents, pieces).
+def mixed(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 1, keep: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
+    """The mix of docs (doc_id, text, source; of other columns only those of keep come along), as (documents, pieces).
 
-    documents: doc_id, size, source, source_size, target, taken (words that the mix takes of it, repeats counted), text_hash
-    and start, a row for each row of docs. pieces: start, number (the source's place), first and last (words of the document that
+    documents: doc_id, size, source, number (the source's place), source_size, target, taken (words that the mix takes of it, repeats
+    counted), text_hash and start, a row for each row of docs. pieces: start, number, first and last (words of the document that
     stand in a block), uses (whole uses of the block), part (words that one more use takes of these, else 0).
 
     Each source's words are packed into blocks of `block`; each shard draws multinomial counts of the sources; the
@@ -155,18 +154,14 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGH
     table gives no rows; rows repeated in full are separate documents. The same rows and seed give the same mix.
     """
     prepare(spark)
-    place, sizes = packed(docs, word_count(F.col("text")), [])
-    plan = shares(sizes, weights, most, block)
-    facts = spark.createDataFrame([(s.number, s.source, s.size, s.target) for s in plan], "number int, source string, source_size long, target double")
-    place = place.withColumnRenamed("source", "own").join(facts, F.col("own").eqNullSafe(F.col("source"))).drop("own")
-    if not any(s.slots or s.tail for s in plan):
-        none = place.where("false").select("start", "number", *[F.lit(0).cast("long").alias(c) for c in ("first", "last", "uses", "part")])
-        return place.withColumn("taken", F.lit(0).cast("long")), none
-    shards = max(1, min(shards, sum(s.slots for s in plan) // 16, MAX_SOURCES // len(plan)))
-    slots = slot_blocks(spark, plan, shards, seed)
+    place = packed(docs, word_count(F.col("text")), keep)
+    plan = planned(place.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, block)
+    facts = plan.select(F.col("source").alias("own"), "number", "source_size", "target")
+    place = place.join(facts, F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    slots, _ = slot_blocks(spark, plan, shards, seed)
     used = slots.groupBy("number", "block").agg(F.count(F.when(F.col("take").isNull(), 1)).alias("uses"), F.coalesce(F.max("take"), F.lit(0)).alias("take"))
     spans = place.where("size > 0").select("number", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
-    # Sizes of what is exploded from a local table are underestimated; without the hint all blocks could be broadcast.
+    # Sizes of what is exploded are underestimated; without the hint all blocks could be broadcast.
     met = spans.join(used.hint("merge"), ["number", "block"])
     low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     met = met.select("number", "start", (low - F.col("start")).alias("first"), (high - F.col("start")).alias("last"), "uses", F.greatest(F.lit(0), F.least(high, F.col("block") * block + F.col("take")) - low).cast("long").alias("part"))
@@ -186,25 +181,24 @@ def mix_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
     A document that a pass takes whole keeps its text as it stands; of another, the words taken (each with the white space
     after it) follow one another. n_chars, if there, is the new text's length. Documents of which nothing is taken go.
-    Columns are those of docs; an empty table, or one without words, gives no rows.
+    Columns are those of docs, each row's own whatever other row has its id and text; an empty table, or one without words, gives
+    no rows. Rows and texts meet by a 128-bit hash of id and text.
     """
-    out, pieces = mixed(spark, docs, **options)
+    key, again, own, rank = spare(docs, "k1", "k2", "own", "rank")
+    keys = [F.xxhash64("doc_id", "text").alias(key), F.xxhash64(F.lit(1), "doc_id", "text").alias(again)]
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(own)
+    out, pieces = mixed(spark, docs, keep=[*keys, others], **options)
     runs = pieces.select("number", "start", F.explode(F.expr("transform(sequence(1, uses + 1), p -> struct(int(p) as pass, first, if(p <= uses, last, first + part) as last))")).alias("r"))
     runs = runs.select("number", "start", "r.*").where("last > first")
     runs = runs.groupBy("number", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum(F.col("last") - F.col("first")).alias("words"))
-    runs = runs.join(out.select("number", "start", "doc_id", "source", "text_hash", "size"), ["number", "start"])
-    # Rows repeated in full have runs of their own; which of them takes which does not matter, so they are numbered.
-    twins = Window.partitionBy("doc_id", "text_hash", "number").orderBy("start")
-    runs = runs.withColumn("twin", F.dense_rank().over(twins))
-    runs = cut(runs.select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "text_hash", "twin", "runs", "words", "size")]), "runs")
-    columns = docs.columns
-    keyed = docs.withColumn("_mix_hash", F.xxhash64("text"))
-    if not runs.where("_mix_twin > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["doc_id", "source", "_mix_hash"])
-    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_hash") == F.col("_mix_text_hash")))
+    runs = cut(runs.join(out.select("number", "start", "size", key, again, own), ["number", "start"]).select(key, again, own, "runs", "words", "size"), "runs")
+    # Rows that repeat an id and a text give one text; the limit is taken before the shuffle too.
+    texts = docs.select("text", *keys).withColumn(rank, F.row_number().over(Window.partitionBy(key, again).orderBy(key))).where(F.col(rank) == 1)
     parts = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     # Bound to a variable, so that a text is split once, not for each of its runs.
     piece = lambda w: lambda r: F.slice(w, (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int"))
-    picked = F.get(F.transform(F.array(parts), lambda w: F.array_join(F.flatten(F.transform("_mix_runs", piece(w))), "")), 0)
-    whole = joined.withColumn("_mix_text", F.when(F.col("_mix_words") < F.col("_mix_size"), picked).otherwise(F.col("text")))
-    return whole.select(*[F.col("_mix_text").alias("text") if c == "text" else F.length("_mix_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+    picked = F.get(F.transform(F.array(parts), lambda w: F.array_join(F.flatten(F.transform("runs", piece(w))), "")), 0)
+    taken = F.when(F.col("words") < F.col("size"), picked).otherwise(F.col("text"))
+    whole = texts.join(runs, [key, again]).select(taken.alias("text"), own)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return whole.select(*[new[c].alias(c) if c in new else F.col(own).getField(c).alias(c) for c in docs.columns])

@@ -3,17 +3,50 @@ import re
 import numpy as np
 import pytest
 
-from docquarry.llm.mixing import mix_report, mix_texts, mixed, permuted, water_fill
+from docquarry.llm import mixing
+from docquarry.llm.mixing import mix_report, mix_texts, mixed, permuted, planned
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def test_water_fill():
-    assert water_fill([100, 100], [1, 1], 3) == [100, 100]
-    assert water_fill([10, 1000, 1000], [5, 2, 1], 3) == pytest.approx([30, 1980 * 2 / 3, 1980 / 3])
-    assert water_fill([], [], 3) == []
-    assert water_fill([0, 0], [5, 2], 3) == [0, 0]
+def shared(sizes, weights, most):
+    """Targets by resharing the excess again and again, as the rule is told."""
+    targets = [0.0] * len(sizes)
+    live = list(range(len(sizes)))
+    left = float(sum(sizes))
+    while live and left > 1e-9:
+        total = sum(weights[i] for i in live)
+        gives = {i: left * weights[i] / total for i in live}
+        left = 0.0
+        for i in list(live):
+            targets[i] += gives[i]
+            if targets[i] >= most * sizes[i]:
+                left += targets[i] - most * sizes[i]
+                targets[i] = float(most * sizes[i])
+                live.remove(i)
+    return targets
+
+
+@pytest.mark.parametrize("sizes", [[100, 100], [10, 1000, 1000], [0, 0], [5, 0, 7], [1, 1, 1, 5000, 2, 900, 3, 40], list(range(1, 200, 3)), []])
+def test_targets_of_a_plan(spark, sizes):
+    names = [None if i == len(sizes) - 1 else f"s{i:03d}" for i in range(len(sizes))]
+    df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long").repartition(3)
+    rows = sorted(planned(df).collect(), key=lambda r: r.number)
+    want = shared(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 3)
+    assert [r.source for r in rows] == names and [r.target for r in rows] == pytest.approx(want)
+    for r, t in zip(rows, want, strict=True):
+        whole, rest = divmod(round(r.target), r.source_size) if r.source_size else (0, 0)
+        assert (r.blocks, r.slots, r.tail) == (-(-r.source_size // 64), whole * -(-r.source_size // 64) + rest // 64, rest % 64), t
+
+
+def test_many_sources_in_groups(spark, monkeypatch):
+    """Sources drawn for in several tasks still give their targets."""
+    monkeypatch.setattr(mixing, "DRAW_SOURCES", 4)
+    rows = [(i, "w " * (60 + 37 * i), "en", f"s{i % 23:02d}", 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixed(spark, docs)[0].groupBy("source").agg({"taken": "sum", "target": "max", "source_size": "max", "size": "sum"}).collect()
+    assert len(out) == 23 and all(abs(r["sum(taken)"] - r["max(target)"]) <= 64 and r["max(source_size)"] == r["sum(size)"] for r in out)
 
 
 def test_permutations():
@@ -36,7 +69,7 @@ def test_targets_are_met(spark, sf):
         taken[s] = taken.get(s, 0) + r.taken
         target[s] = (r.target, r.source_size)
     names = sorted(sizes)
-    want = water_fill([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 3)
+    want = shared([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 3)
     for s, t in zip(names, want, strict=True):
         assert target[s] == (pytest.approx(t), sizes[s])
         assert abs(taken[s] - t) <= 64
@@ -82,3 +115,14 @@ def test_one_text_under_two_sources(spark):
             assert r.doc_id != 1 or r.lang == {"a": "en", "b": "fr", None: "de"}[r.source]
             got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(r.text.split())
         assert got == {k: n for k, n in want.items() if n}
+
+
+def test_rows_of_one_id_and_text_keep_their_own_columns(spark):
+    text = "one two three four " * 50
+    rows = [(1, text, "en", "a", 1), (1, text, "fr", "a", 2), (1, text, "fr", "a", 2), (2, "w " * 300, "de", "b", 3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    report = mixed(spark, docs)[0].select("doc_id", "taken").collect()
+    got = mix_texts(spark, docs).collect()
+    assert {r.lang for r in got if r.doc_id == 1} <= {"en", "fr"}
+    for i in (1, 2):
+        assert sum(len(r.text.split()) for r in got if r.doc_id == i) == sum(r.taken for r in report if r.doc_id == i)

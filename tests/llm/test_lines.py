@@ -49,3 +49,11 @@ def test_odd_rows(spark):
     assert 20 not in {r.doc_id for r in kept}
     assert all(r.n_chars == len(r.text) for r in kept if r.text is not None)
     assert dedup_lines(docs.where("false")).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(k, f"common\nown {k}", f"s{k}", 1, k, "h", k) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, _id long, _hash string, n_lines long")
+    out = dedup_lines(docs).collect()
+    assert all((r._id, r._hash, r.n_lines) == (r.doc_id, "h", 2) for r in out) and sum(r.n_removed for r in out) == 11
+    assert {(r._id, r._hash, r.n_lines) for r in clean_documents(docs).collect()} == {(k, "h", k) for k in range(12)}

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.components import components, spanning_roots
-from docquarry.llm.shared import cut, prepare
-from docquarry.llm.shingles import PRIME, chunks, mix, multisets
+from docquarry.llm.shared import cut, prepare, spare
+from docquarry.llm.shingles import PRIME, chunks, mix, multisets, spans
 
 #: Five-word shingles; a weighted Jaccard similarity of 0.8 or more links two texts.
 WORDS, SIMILARITY = 5, 0.8
@@ -86,9 +86,9 @@ def signatures(texts: list[str | None], bands: int = BANDS, rows: int = ROWS, wo
 def overlaps(left: list[str | None], right: list[str | None], words: int = WORDS) -> np.ndarray:
     """The exact weighted Jaccard similarity of each pair of texts; 0 where both are empty."""
     out = np.zeros(len(left))
-    both = [x for pair in zip(left, right, strict=True) for x in pair]
-    for start, end in chunks([(a or "") + (b or "") for a, b in zip(left, right, strict=True)]):
-        doc, shingle, count = multisets(both[2 * start : 2 * end], words)
+    for start, end in spans(len(a or "") + len(b or "") for a, b in zip(left, right, strict=True)):
+        both = [x for pair in zip(left[start:end], right[start:end], strict=True) for x in pair]
+        doc, shingle, count = multisets(both, words)
         pair = doc >> 1
         total = np.bincount(pair, count, end - start)
         key = (pair.astype(np.uint64) << np.uint64(48)) | shingle
@@ -157,7 +157,7 @@ def overlap_udf(words: int):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, hashes: bool = False) -> DataFrame:
-    """(doc_id, n_words_shingled, class_id, copies, kept) for each row of docs (doc_id, text; other columns are ignored).
+    """(doc_id, n_shingles, class_id, copies, kept) for each row of docs (doc_id, text; other columns are ignored).
 
     Texts with equal shingle multisets are one class, whose smallest doc_id stands for it; classes of a weighted Jaccard
     similarity of at least `similarity` link, and class_id is the smallest doc_id reachable by links (itself included).
@@ -251,12 +251,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the rows that near_duplicates() does not keep; rows that repeat a doc_id and text stay once."""
-    found = near_duplicates(spark, docs, hashes=True).where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    found = cut(found.where("not _kept or _n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "_kept"), "gone")
-    same = (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of"))
-    out = docs.withColumn("_hash", F.xxhash64("text")).join(found.where("not _kept"), same, "left_anti")
-    again = found.where("_kept")
+    hashed, ident, of, stays, times = spare(docs, "hash", "id", "of", "stays", "times")
+    found = near_duplicates(spark, docs.select("doc_id", "text"), hashes=True).where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.min("kept").alias(stays), F.count(F.lit(1)).alias(times))
+    found = cut(found.where(~F.col(stays) | (F.col(times) > 1)).select(F.col("doc_id").alias(ident), F.col("text_hash").alias(of), stays), "gone")
+    same = (F.col("doc_id") == F.col(ident)) & (F.col(hashed) == F.col(of))
+    out = docs.withColumn(hashed, F.xxhash64("text")).join(found.where(~F.col(stays)), same, "left_anti")
+    again = found.where(stays)
     if not again.isEmpty():
-        once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+        once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", hashed])
         out = out.join(again, same, "left_anti").unionByName(once)
-    return out.select(*docs.columns)
+    return out.select(*[f"`{c}`" for c in docs.columns])

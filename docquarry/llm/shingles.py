@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import xxhash
@@ -10,7 +10,7 @@ import xxhash
 from docquarry.llm.memos import only, register
 
 #: Characters of text that are held as words at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 MEMO_WORDS = 100_000
 MASK48 = np.uint64((1 << 48) - 1)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -38,17 +38,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK_CHARS characters; a longer text stands alone, and at most 65,536 go together."""
-    start, chars = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text) if text is not None else 0
+def spans(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of these sizes with about CHUNK_CHARS characters; a longer text stands alone, and at most 65,536 go together."""
+    start, chars, i = 0, 0, -1
+    for i, n in enumerate(sizes):
         if i > start and (chars + n > CHUNK_CHARS or i - start >= 1 << 16):
             yield start, i
             start, chars = i, 0
         chars += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start <= i:
+        yield start, i + 1
+
+
+def chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    return spans(len(t) if t is not None else 0 for t in texts)
 
 
 def multisets(texts: Sequence[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,9 +3,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from docquarry.llm import components as graph
 from docquarry.llm.components import components
 from docquarry.llm.minhash import bag_minhash, keep_one, near_duplicates, overlaps, signatures
-from docquarry.llm.shingles import multisets
+from docquarry.llm.shingles import multisets, spans
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -98,7 +99,9 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert got == brute([(r[0], r[1]) for r in rows])
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("finish", [0, 70, 1000])
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, finish):
+    monkeypatch.setattr(graph, "FINISH", finish)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in components(df).collect()}
@@ -149,3 +152,14 @@ def test_an_id_whose_other_text_is_a_copy(spark):
         for second in (copied, copied + " tail"):
             docs = spark.createDataFrame([(3, copied, "s"), (5, alone, "s"), (5, second, "s")], SCHEMA)
             assert sorted((r.doc_id, r.text) for r in keep_one(spark, docs).collect()) == [(3, copied), (5, alone)]
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f", "h", 5, "x"), (2, "a b c d e f", "h", 6, "y"), (3, "other words", "h", 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string, _id long, text_hash string")
+    assert sorted(map(tuple, keep_one(spark, docs).collect())) == [rows[0], rows[2]]
+
+
+def test_ranges_of_texts():
+    assert list(spans([])) == [] and list(spans([5])) == [(0, 1)]
+    assert list(spans([600_000, 600_000, 1, 5_000_000, 2])) == [(0, 1), (1, 3), (3, 4), (4, 5)]

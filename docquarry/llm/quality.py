@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.memos import only, register
-from docquarry.llm.shared import prepare
+from docquarry.llm.shared import prepare, spare, spread
 from docquarry.llm.shingles import chunks
 
 #: Hashed vocabulary, dimensions, non-zero entries of an index vector.
@@ -178,29 +178,30 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, passes: int = 40, seed:
     if len(y) < 20 or y.min() == y.max():
         return Network(float(prior))
     rng = np.random.default_rng(seed)
-    x = x.astype(np.float64)
     order = rng.permutation(len(y))
     held, train = order[: len(y) // 5], order[len(y) // 5 :]
-    mean, scale = x[train].mean(0), x[train].std(0) + 1e-3
-    z = (x - mean) / scale
+    mean = x[train].mean(0, dtype=np.float64)
+    scale = x[train].std(0, dtype=np.float64) + 1e-3
+    z = ((x - mean.astype(np.float32)) / scale.astype(np.float32)).astype(np.float32)
     p = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.array(np.log(prior / (1 - prior)))]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     for _ in range(max(passes, min(400, 200_000 // len(train)))):
         mixed = rng.permutation(train)
         for at in range(0, len(mixed), 128):
             b = mixed[at : at + 128]
-            h = z[b] @ p[0] + p[1]
+            zb = z[b].astype(np.float64)
+            h = zb @ p[0] + p[1]
             a = np.maximum(h, 0)
             d = (1 / (1 + np.exp(-np.clip(a @ p[2] + p[3], -30, 30))) - y[b]) / len(b)
             da = np.outer(d, p[2]) * (h > 0)
-            grads = [z[b].T @ da + 1e-4 * p[0], da.sum(0), a.T @ d + 1e-4 * p[2], d.sum()]
+            grads = [zb.T @ da + 1e-4 * p[0], da.sum(0), a.T @ d + 1e-4 * p[2], d.sum()]
             step += 1
             for i, g in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] = p[i] - 0.003 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     net = Network(float(prior), (mean, scale, *p))
-    logits = net.logits(x[held])
+    logits = net.logits(x[held].astype(np.float64))
     loss = lambda t: np.mean(np.logaddexp(0, -np.where(y[held] == 1, 1, -1) * logits / t))
     net.temperature = float(min(np.geomspace(0.5, 8, 41), key=loss))
     return net
@@ -220,7 +221,8 @@ def quality_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, train
     """
     prepare(spark)
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    kind = "long" if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
+    usable = usable.withColumn("doc_id", F.col("doc_id").cast(kind)).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).toPandas()
     vectors = word_vectors(spark, docs)
     x, y = np.zeros((0, 4 * DIMS + 1), np.float32), np.zeros(0)
@@ -231,11 +233,15 @@ def quality_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, train
         def pool(text: pd.Series) -> pd.Series:
             return pd.Series(list(pooled(text.tolist(), send.value)))
 
-        picked = F.broadcast(spark.createDataFrame(chosen[["doc_id"]].astype("int64")))  # train_rows ids at most
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id", "left_semi")
-        got = rows.select("doc_id", pool("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("x")).toPandas().merge(chosen, on="doc_id").sort_values("doc_id")
+        picked = F.broadcast(spark.createDataFrame(chosen[["doc_id"]]))  # train_rows ids at most
+        rows = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").join(picked, "doc_id", "left_semi")
+        got = rows.select("doc_id", pool("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
         if len(got):
-            x, y = np.stack(got["x"].to_numpy()), (got["quality"].to_numpy() == 1).astype(float)
+            # As one array from the columns: Python objects for each row would be most of the driver's memory.
+            x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(got), -1)
+            of = chosen.set_index("doc_id")["quality"]
+            y = (of.loc[got["doc_id"].to_pandas()].to_numpy() == 1).astype(float)
+        del got
     model = spark.sparkContext.broadcast((vectors, fit(x, y)) if len(y) else (vectors, Network(0.5)))
 
     @F.pandas_udf("double")
@@ -249,8 +255,11 @@ def quality_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, train
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs with held_out, score (0 to 1; texts without words included) and predicted (1: score >= threshold).
 
-    Extra columns stay; null texts score as empty ones. An empty table gives no rows.
+    Extra columns stay, but for those of these three names; null texts score as empty ones. An empty table gives no rows.
     """
+    docs = spread(docs)
     score = quality_score(spark, docs, labels, train_rows)
-    scored = docs.withColumns({"held_out": held_out(F.col("doc_id")), "score": score})
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    (made,) = spare(docs, "score")
+    scored = docs.withColumn(made, score)
+    new = {"held_out": held_out(F.col("doc_id")), "score": F.col(made), "predicted": (F.col(made) >= threshold).cast("int")}
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])

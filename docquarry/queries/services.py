@@ -104,6 +104,35 @@ def m_cross_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(n({"user_id": {"$gt": 50.0}}).alias("whole_by_real"), n({"event_type": {"$gt": 5}}).cast("int").alias("text_by_number"), n({"user_id": {"$lt": "zzz"}}).cast("int").alias("number_by_text"), n({"user_id": {"$ne": "x"}}).alias("not_equal"))
 
 
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100000)")
+def o_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older engine's cap on what a pipeline returns, where it is asked for."""
+    return pipeline.aggregate(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), [{"$sort": {"l_orderkey": 1, "l_linenumber": 1}}], caps=True)
+
+
+#: Pipelines that are refused, and one that isn't.
+STAGES = [[{"$nope": 1}], [{"$match": 5}], [{"$limit": -1}], [{"$skip": "x"}], [{"$match": {}, "$limit": 1}], [{"$group": {"_id": None, "n": {"$nope": 1}}}], [{"$match": {"kind": "click"}}, {"$limit": 3}]]
+
+
+@query("SELECT i::INT AS pipeline, i = 6 AS accepted FROM range(0, 7) t(i)")
+def g_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, rows = events(spark, sf_dir), []
+    for i, stages in enumerate(STAGES):
+        try:
+            pipeline.aggregate(df, stages)
+            rows.append((i, True))
+        except QueryError:
+            rows.append((i, False))
+    return spark.createDataFrame(rows, "pipeline int, accepted boolean")
+
+
+@query("SELECT event_id FROM events WHERE (event_type IN ('click', 'view') OR value > 90) AND NOT user_id < 20 AND regexp_matches(event_type, 'i') AND CAST(json_extract_string(props, '$.k') AS BIGINT) NOT IN (1, 2, 3)")
+def m_superset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """$match with the whole filter language: patterns, logic, $nin, dotted paths."""
+    condition = {"$or": [{"event_type": {"$in": ["click", "view"]}}, {"value": {"$gt": 90}}], "$not": {"user_id": {"$lt": 20}}, "event_type": {"$regex": "i"}, "props.k": {"$nin": [1, 2, 3]}}
+    return pipeline.match(table(spark, sf_dir, "events"), condition).select("event_id")
+
+
 # Files
 
 
@@ -239,6 +268,15 @@ def i_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r.event_id, i + 1) for i, r in enumerate(ordered.collect())], "event_id long, place long")
 
 
+@query("SELECT o_orderkey, o_custkey, (SELECT count(*) + (count(*) + 999) // 1000 * 10 FROM orders)::BIGINT AS estimate_ms FROM orders WHERE o_custkey BETWEEN 100 AND 120")
+def i_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built as files sorted by its key, and a range read from them; what a background build is taken to last."""
+    orders, target = table(spark, sf_dir, "orders"), fresh_path(spark, "sorted")
+    index.write_sorted(orders, ["o_custkey", "o_orderkey"], target, files=4)
+    found = index.between(spark.read.parquet(target), "o_custkey", 100, 120)
+    return found.select("o_orderkey", "o_custkey", F.lit(index.build_estimate_ms(orders.count())).cast("long").alias("estimate_ms"))
+
+
 # Cache commands: some keys are written again, read, expired and made to stay
 
 
@@ -286,6 +324,18 @@ def evict_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structures.victims(e, "lru", structures.needed_bytes(used, 5000, 0.9 * used)).select("key")
 
 
+@query(f"SELECT key FROM (SELECT key, coalesce(sum(size_bytes) OVER (ORDER BY access_count, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size_bytes) OVER () AS used FROM {ENTRIES_SQL}) WHERE before < used * 0.25")
+def evict_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of what is in use, by frequency; a policy that evicts nothing refuses."""
+    e = entries(spark, sf_dir)
+    used = e.agg(F.sum("size_bytes")).first()[0]
+    try:
+        structures.victims(e, "none", 1)
+    except MemoryError:
+        return structures.victims(e, "lfu", structures.share_to_evict(used, 0.25)).select("key")
+    raise AssertionError("evicted without a policy")
+
+
 @query(f"SELECT key, member, score FROM {ZSET_SQL} WHERE CAST(member AS BIGINT) % 3 <> 0")
 def z_rem(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = scores(spark, sf_dir)

@@ -364,3 +364,46 @@ def test_encryption(spark):
     assert got(security.rotate(df, ["s"], two, one), "rotated") == [(False,), (True,)]
     keys = spark.createDataFrame([("k1", True, dt.date(2024, 1, 1), 90), ("k2", True, dt.date(2024, 1, 30), 90), ("k3", False, dt.date(2020, 1, 1), 90), ("k4", True, dt.date(2024, 4, 1), 90)], "key_id string, active boolean, last_rotated date, rotation_days int")
     assert got(security.key_ages(keys, F.lit(dt.date(2024, 4, 10))), "key_id", "age_days", "needs_rotation", "warning") == [("k1", 100, True, False), ("k2", 71, False, False), ("k3", 1561, False, False), ("k4", 9, False, False)]
+
+
+# What surrounds the queries
+
+
+def test_recovery_refuses_a_log_out_of_order(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(1, at(0), "insert", "c", "a", 1), (2, at(5), "update", "c", "a", 2), (3, at(3), "update", "c", "a", 3), (4, at(9), "update", "c", "a", 4)]
+    log = spark.createDataFrame(rows, "sequence long, timestamp timestamp, op string, collection string, doc_id string, v int")
+    assert got(changelog.recover_checked(None, log.where("sequence <> 3"), ["v"], F.lit(at(6))), "v") == [(2,)]
+    with pytest.raises(ValueError):
+        changelog.recover_checked(None, log, ["v"], F.lit(at(6)))
+    assert got(changelog.recover_checked(None, log, ["v"], F.lit(at(2))), "v") == [(1,)]
+
+
+def test_translated_commands():
+    assert kv.translated("SET", "k", "v") == {"op": "insert", "collection": kv.LEGACY, "document": {"_id": "k", "value": "v"}}
+    assert kv.translated("GET", "k")["limit"] == 1 and kv.translated("FETCH")["limit"] == 1000 and kv.translated("DEL", "k")["op"] == "delete"
+    assert kv.translated("CAS", "k", "new", "old")["filter"] == {"_id": "k", "value": "old"}
+    with pytest.raises(ValueError):
+        kv.translated("NOPE")
+
+
+def test_storage_strategies(spark, tmp_path):
+    df = spark.createDataFrame([("1", 1), ("2", 2)], "_id string, v int")
+    for strategy, versions in (("write_through", [1, 2]), ("write_behind", [2]), ("read_through", [1, 2])):
+        folder = str(tmp_path / strategy)
+        c = Engine(spark).create(f"st_{strategy}", df, storage=folder, strategy=strategy)
+        c.update({"v": 1}, {"$inc": {"v": 10}})
+        c.delete({"v": 2})
+        assert got(c.df, "v") == [(11,)] and c.flush() == len(versions)
+        assert got(spark.read.parquet(f"{folder}/version={c.version}"), "v") == [(11,)]
+        assert c.refresh() and not c.refresh(3600) and c.df.is_cached and c.count() == 1
+        c.cool()
+    with pytest.raises(Exception, match="strategy"):
+        Engine(spark).create("st_none", df, strategy="nope")
+
+
+def test_backups_that_are_not_there(spark, tmp_path):
+    exchange.create_backup(spark.range(3), str(tmp_path), "c", 1, "20240101")
+    assert not exchange.verify_backup(spark, str(tmp_path), "nope") and exchange.verify_backup(spark, str(tmp_path), "backup-20240101-000000000001")
+    with pytest.raises(ValueError):
+        exchange.restore_backup(spark, str(tmp_path), "nope")

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm import bpe, lines, minhash, mixing, quality
-from docquarry.llm.shared import cut, table
+from docquarry.llm.shared import fresh_path, passing, table
+from docquarry.sources.shared import remove
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +48,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each stage's rows written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each stage's rows written and read again. What a stage needed on its way goes once its rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for place, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if place < len(STAGES) - 1:
-            docs = cut(docs, name.replace(" ", "-"))
+        if place == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with passing(spark):
+            kept = stage(spark, docs, sf_dir)
+            path = fresh_path(spark, name.replace(" ", "-"))
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.memos import Memo, only, register
-from docquarry.llm.shared import prepare
+from docquarry.llm.shared import prepare, spare, spread
 
 #: Fixed value: how byte-level vocabularies of this family split text before merging.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -35,12 +35,28 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_kind(spec: dict) -> None:
+    """ValueError for a vocabulary file that asks for more than this encoder does: it splits by SPLIT, merges bytes by rank, takes added
+    tokens wherever their text stands, and nothing else."""
+    model, split, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    wrong = [
+        model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        bool(spec.get("normalizer")) or bool(spec.get("post_processor")) and spec["post_processor"].get("type") != "ByteLevel",
+        split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True),
+        decoder.get("type") != "ByteLevel",
+        any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    ]
+    if any(wrong):
+        raise ValueError("not a plain byte-level vocabulary: its " + ", ".join(n for n, w in zip(("model", "normalizer or post-processor", "pre-tokenizer", "decoder", "added tokens"), wrong, strict=True) if w))
+
+
 class Vocabulary:
     """Tokens as bytes, merges by rank, special strings, and the merge list's sufficient lookahead."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_kind(spec)
         letters = byte_letters()
         ids = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -87,10 +103,11 @@ class Encoder:
     token that is `lookahead` bytes from the end.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, memo: int | None = None):
         self.v, self.left = vocabulary, ""
+        most = MEMO if memo is None else memo
         #: Stretches, what stands behind a space, and split words, each with its ids.
-        self.memo, self.spaced, self.words = Memo(MEMO // 4), Memo(MEMO), Memo(MEMO // 2)
+        self.memo, self.spaced, self.words = Memo(most // 4), Memo(most), Memo(most // 2)
         self.longest_special = max(map(len, vocabulary.special), default=0)
 
     def merged(self, data: bytes) -> list[int]:
@@ -264,21 +281,21 @@ class Decoder:
         return text
 
 
-_LOADED: dict[str, tuple[Vocabulary, Encoder]] = {}
+_LOADED: dict[tuple[str, int | None], tuple[Vocabulary, Encoder]] = {}
 
 
-def loaded(path: str) -> tuple[Vocabulary, Encoder]:
-    if path not in _LOADED:
+def loaded(path: str, memo: int | None = None) -> tuple[Vocabulary, Encoder]:
+    if (path, memo) not in _LOADED:
+        _LOADED.clear()
         vocabulary = Vocabulary(path)
-        _LOADED[path] = (vocabulary, Encoder(vocabulary))
+        _LOADED[path, memo] = (vocabulary, Encoder(vocabulary, memo))
     only("bpe")
-    return _LOADED[path]
+    return _LOADED[path, memo]
 
 
 def forget() -> None:
-    for _, encoder in _LOADED.values():
-        for memo in (encoder.memo, encoder.spaced, encoder.words):
-            memo.clear()
+    """Drop vocabulary and memos: what comes next in this worker needs neither."""
+    _LOADED.clear()
 
 
 register("bpe", forget)
@@ -306,10 +323,10 @@ def round_trip(vocabulary: Vocabulary, encoder: Encoder, text: str) -> tuple[int
     return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
-def digest_udf(name: str):
+def digest_udf(name: str, memo: int | None = None):
     @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def digest(text: pd.Series) -> pd.DataFrame:
-        vocabulary, encoder = loaded(SparkFiles.get(name))
+        vocabulary, encoder = loaded(SparkFiles.get(name), memo)
         rows = [round_trip(vocabulary, encoder, t if isinstance(t, str) else "") for t in text]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -336,16 +353,18 @@ def shipped(spark: SparkSession, path: str) -> str:
 def encode_texts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """docs with ids, array<int>: each text's tokens (null: none). path: a byte-level BPE vocabulary file of the tokenizers library."""
     prepare(spark)
-    return docs.withColumn("ids", encode_udf(shipped(spark, path))("text"))
+    return spread(docs).withColumn("ids", encode_udf(shipped(spark, path))("text"))
 
 
-def encode_decode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text, encoded and decoded by streaming.
+def encode_decode(spark: SparkSession, docs: DataFrame, path: str, memo: int | None = None) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text, encoded and decoded by streaming. memo: words that a worker
+    remembers, MEMO if not told; fewer take less memory and more time.
 
     The ids are those of the tokenizers library without special tokens added; a special token's string in a text is that
     token. A null text is an empty one: no tokens, the digests of nothing. Rows are independent; extra columns stay, but for those of the same names.
     """
     prepare(spark)
-    made = docs.withColumn("_d", digest_udf(shipped(spark, path))("text"))
+    (digest,) = spare(docs, "digest")
+    made = spread(docs).withColumn(digest, digest_udf(shipped(spark, path), memo)("text"))
     own = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return made.select(*[f"`{c}`" for c in docs.columns if c not in own], *[f"_d.{c}" for c in own])
+    return made.select(*[f"`{c}`" for c in docs.columns if c not in own], *[f"{digest}.{c}" for c in own])

@@ -85,3 +85,17 @@ def test_odd_rows(spark):
     assert [(r.n_tokens, r.ids_sha256 == empty, r.decoded_sha256 == empty) for r in out] == [(0, True, True), (0, True, True), (2, False, False), (2, False, False)]
     assert bpe.encode_decode(spark, docs.where("false"), PATH).count() == 0
     assert [r.ids for r in bpe.encode_texts(spark, docs, PATH).collect()][2] == bpe.encode(PATH, "a b")
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "d", "e")], "doc_id long, text string, _d string, _digest string")
+    row = bpe.encode_decode(spark, docs, PATH).first()
+    assert (row._d, row._digest, row.n_tokens, len(row)) == ("d", "e", 2, 7)
+
+
+@pytest.mark.parametrize("change", [("pre_tokenizer", {"type": "Whitespace"}), ("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}), ("decoder", None), ("model", {"type": "WordPiece"})])
+def test_other_kinds_of_vocabulary_are_refused(change):
+    spec = {"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "decoder": {"type": "ByteLevel"}, "added_tokens": [{"id": 0, "content": "x"}]}
+    bpe.check_kind(spec)
+    with pytest.raises(ValueError):
+        bpe.check_kind({**spec, change[0]: change[1]})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.components import components, spanning_roots
-from docquarry.llm.shared import cut, prepare, spare
+from docquarry.llm.shared import cut, prepare, spare, spread
 from docquarry.llm.shingles import PRIME, chunks, mix, multisets, spans
 
 #: Five-word shingles; a weighted Jaccard similarity of 0.8 or more links two texts.
@@ -168,14 +168,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     table gives no rows.
 
     Candidates come from equal bands. In each bucket the members are held against two members in turn (the smallest
-    doc_id, then one drawn by hash); buckets that still span several classes are then dealt out in tiles of bounded size, in
-    which those pairs are verified whose members are in different classes and whose sizes allow the similarity, and only
-    the edges that connect them come out. So no pair that could change a class goes unverified, large groups of copies
+    doc_id, then one drawn by hash); buckets that still span several classes are then dealt out in tiles of bounded size (the
+    largest class against the others, and the others among themselves), in which those pairs are verified whose members are in
+    different classes and whose sizes allow the similarity, and only the edges that connect them come out. So no pair that could change a class goes unverified, large groups of copies
     cost a few pairs a member, and no bucket is collected anywhere.
     """
     prepare(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = base.select("doc_id", F.xxhash64("text").alias("text_hash"), signature_udf(bands, rows, words)("text").alias("s")).select("doc_id", "text_hash", "s.*")
+    signed = spread(base).select("doc_id", F.xxhash64("text").alias("text_hash"), signature_udf(bands, rows, words)("text").alias("s")).select("doc_id", "text_hash", "s.*")
     signed = cut(signed, "signatures")
     keys = ["k1", "k2", "weight"]
     able = signed.where("weight > 0 and doc_id is not null")
@@ -219,19 +219,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     # The two that all members have been held against are done, and so are buckets with one more member.
     pivots = F.when(F.col("c1.rep") == F.col("c2.rep"), 1).otherwise(2)
     left = across(components(links)).where((F.col("n") - pivots > 1) & (F.col("rep") != F.col("c1.rep")) & (F.col("rep") != F.col("c2.rep")))
-    left = left.select("bucket", "rep", "component", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    left = left.select("bucket", "rep", "component")
+    # Of a bucket's classes the largest is one side, all others the other: members of the largest need not meet one another.
+    sizes = left.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    shapes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"))
+    shapes = cut(shapes.where("total > m.n").select("bucket", F.col("m.component").alias("main"), F.ceil(F.col("m.n") / TILE).cast("int").alias("mains"), F.ceil((F.col("total") - F.col("m.n")) / TILE).cast("int").alias("others")), "shapes")
     payload = texts.join(classes.select("rep", "bands"), "rep")
-    own = F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int")
-    tiled = left.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiled = tiled.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "rep", "component")
+    main = F.col("component") == F.col("main")
+    dealt = left.join(shapes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.when(main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    places = """if(component = main, transform(sequence(0, others - 1), k -> struct(true as across, own as x, k as y, false as second)),
+      concat(transform(sequence(0, mains - 1), k -> struct(true as across, k as x, own as y, true as second)), transform(sequence(0, others - 1), k -> struct(false as across, least(own, k) as x, greatest(own, k) as y, own > k as second))))"""
+    tiled = dealt.select("bucket", "rep", "component", F.explode(F.expr(places)).alias("t")).select("bucket", "rep", "component", "t.*")
 
     def joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep")
         reps = group["rep"].to_numpy(np.int64)
-        at = tile_edges(int(key[0]), reps, group["component"].to_numpy(np.int64), np.stack(group["bands"].to_numpy()), group["text"].tolist(), group["second"].to_numpy(bool), key[1] == key[2], similarity, words)
+        at = tile_edges(int(key[0]), reps, group["component"].to_numpy(np.int64), np.stack(group["bands"].to_numpy()), group["text"].tolist(), group["second"].to_numpy(bool), not key[1] and key[2] == key[3], similarity, words)
         return pd.DataFrame({"a": reps[at[:, 0]], "b": reps[at[:, 1]]})
 
-    rest = tiled.join(payload, "rep").groupBy("bucket", "x", "y").applyInPandas(joined, "a long, b long")
+    rest = tiled.join(payload, "rep").groupBy("bucket", "across", "x", "y").applyInPandas(joined, "a long, b long")
     found = components(links.union(cut(rest, "rest")))
 
     placed = classes.select(*keys, "rep", "least", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -261,3 +267,19 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
         once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", hashed])
         out = out.join(again, same, "left_anti").unionByName(once)
     return out.select(*[f"`{c}`" for c in docs.columns])
+
+
+#: DuckDB: what op10 returns, by comparing all pairs of texts that share a shingle.
+MINHASH_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+counts AS (SELECT doc_id, s, count(*) AS n FROM shingles GROUP BY 1, 2),
+sizes AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS size, md5(string_agg(s || ' ' || n, chr(10) ORDER BY s)) AS content FROM counts GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS c FROM counts a JOIN counts b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c >= 0.8 * (x.size + y.size - c) - 1e-9),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1)
+SELECT c.doc_id, coalesce(s.size, 0) AS n_shingles, class_id, CASE WHEN s.size IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY s.content) END AS copies, c.doc_id = class_id AS kept
+FROM classes c LEFT JOIN sizes s ON c.doc_id = s.doc_id
+"""

@@ -31,7 +31,7 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.as_calls(table(spark, sf_dir, "conversations"))
+    calls, results = chat.faulty_calls(table(spark, sf_dir, "conversations"))
     linked = chat.linked_calls(calls, results, chat.REPLY)
     return linked.select("conv_id", "call_id", "turn", "level", "status", F.size("problems").cast("long").alias("n_problems"), "n_results", F.md5("json").alias("json_md5"))
 
@@ -59,16 +59,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-#: DuckDB: what op5 returns.
+#: DuckDB: what op5 returns. Calls that depend forwards wait for the rest of their run of turns, two apart.
 CHAT_SQL = """
 WITH base AS (SELECT conv_id, turn, role, text FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
-calls AS (SELECT conv_id, turn, min(to_json(coalesce(text, ''))::VARCHAR) AS t FROM base WHERE role = 'user' GROUP BY conv_id, turn),
-results AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n, min(text) AS content FROM base WHERE role = 'assistant' GROUP BY conv_id, turn - 1)
-SELECT c.conv_id, 't' || c.turn AS call_id, c.turn, 0::BIGINT AS level, CASE WHEN r.n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-       0::BIGINT AS n_problems, coalesce(r.n, 0)::BIGINT AS n_results,
-       md5('{"call":{"arguments":{"text":' || c.t || ',"turn":' || c.turn || '},"id":"t' || c.turn || '","name":"reply"},"result":' ||
-           coalesce(to_json(r.content)::VARCHAR, 'null') || ',"status":"' || CASE WHEN r.n IS NULL THEN 'unanswered' ELSE 'linked' END || '"}') AS json_md5
-FROM calls c LEFT JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn
+one AS (SELECT conv_id, turn, min(to_json(coalesce(text, ''))::VARCHAR) AS t FROM base WHERE role = 'user' GROUP BY conv_id, turn),
+run AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM one),
+calls AS (SELECT conv_id, turn, CASE WHEN conv_id % 8 = 3 THEN row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn DESC) - 1 ELSE 0 END AS level,
+  CASE WHEN conv_id % 8 = 5 OR conv_id % 8 = 6 THEN 1 ELSE 0 END AS problems,
+  CASE WHEN conv_id % 8 = 5 THEN '{"text":' || t || ',"turn":"' || turn || '"}' WHEN conv_id % 16 = 6 THEN '{"turn":' || turn || '}' WHEN conv_id % 16 = 14 THEN '{"more":15,"text":' || t || ',"turn":' || turn || '}' ELSE '{"text":' || t || ',"turn":' || turn || '}' END AS a
+  FROM run),
+results AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n, min(text) AS content, min(turn) AS at FROM base WHERE role = 'assistant' GROUP BY conv_id, turn - 1),
+rows AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS call, coalesce(c.turn, r.at) AS turn, coalesce(c.level, 0) AS level, coalesce(c.problems, 0) AS problems, coalesce(r.n, 0) AS n, c.a, r.content,
+  CASE WHEN c.turn IS NULL THEN 'orphan' WHEN c.problems > 0 THEN 'invalid' WHEN r.n IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn)
+SELECT conv_id, 't' || call AS call_id, turn, level::BIGINT AS level, status, problems::BIGINT AS n_problems, n::BIGINT AS n_results,
+       md5('{"call":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '{"arguments":' || a || ',"id":"t' || call || '","name":"reply"}' END ||
+           ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}') AS json_md5
+FROM rows
 """
 
 #: DuckDB: what op4 returns, by comparing all pairs.
@@ -91,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vectors": VECTORS_SQL, "op5_chat": CHAT_SQL, "op7_lines": lines.LINES_SQL, "op9_warc": warc.WARC_SQL}
+    return {"op4_vectors": VECTORS_SQL, "op5_chat": CHAT_SQL, "op7_lines": lines.LINES_SQL, "op9_warc": warc.WARC_SQL, "op10_minhash": minhash.MINHASH_SQL}

@@ -9,7 +9,7 @@ from docquarry.functions.values import spare
 from docquarry.session import ship
 from docquarry.sources.shared import cut, fresh_path, passing, shared_dir
 
-__all__ = ["WORD", "cut", "fresh_path", "passing", "prepare", "shared_dir", "spare", "table", "word_count"]
+__all__ = ["WORD", "bind", "cut", "fresh_path", "passing", "prepare", "shared_dir", "spare", "spread", "table", "word_count"]
 
 #: What a word is in every operator: a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,10 +28,23 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) dealt out over all cores where they lie in fewer files than that: a file of one row group is one task,
+    however long its texts take. Tables of many files stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    files = len(docs._jdf.inputFiles())
+    return docs.repartition(cores, "doc_id", F.xxhash64("text")) if 0 < files < cores else docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bind(name: str, value: str, body: str) -> str:
+    """SQL: body with name standing for value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def word_count(text):
     """Column: the number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -291,8 +291,8 @@ def look_up(spark: SparkSession, keys: DataFrame, parts: list[tuple[str, str, st
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write pages (page_id, url, html; other columns are ignored) to WARC archives, index them, and read all of them back.
 
-    Returns page_id, url, payload_bytes, payload_digest (SHA-1, hex, of the full payload), record_type and refers_to as the records
-    have them, one row a page. A null html is an empty payload, a null url has the empty key; a row without page_id is stored
+    Returns page_id, url (as the record has it: percent-encoded), payload_bytes, payload_digest (SHA-1, hex, of the full payload),
+    record_type and refers_to as the records have them, one row a page. Rows without page_id share the key of their url, which one task reads. A null html is an empty payload, a null url has the empty key; a row without page_id is stored
     as such, and never refers or is referred to unless its payload has another row with an id. Rows repeated in full are all
     records, with equal results. An empty table gives no rows. Archives and index stay in the shared folder.
     """

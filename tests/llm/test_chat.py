@@ -47,6 +47,51 @@ def test_odd_rows(spark):
     assert sorted((r.call_id, r.status) for r in out) == [("t0", "linked"), ("t2", "unanswered")]
 
 
+def canonically(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
+    return [r.c for r in df.select("i", chat.canonical("j").alias("c")).orderBy("i").collect()]
+
+
+def test_canonical_numbers(spark):
+    numbers = {"1.0": "1", "1e0": "1", "1E2": "100", "-0": "0", "-0.0e9": "0", "0.10": "0.1", "1.50E+1": "15", "12.5e-1": "1.25", "1e21": "1e+21", "1e20": "1" + "0" * 20, "123e-9": "1.23e-7", "0.000001": "0.000001", "1e-7": "1e-7", "-2.50": "-2.5", "1e400": "1e+400", "100": "100"}
+    long = "12345678901234567890123456789012345678901234567891"
+    numbers |= {long: long, long + "0": long[0] + "." + long[1:] + "e+50", "-" + long + ".50": "-" + long + ".5", "9" * 40 + "e-45": "0.00000" + "9" * 40}
+    assert canonically(spark, numbers) == list(numbers.values())
+    assert canonically(spark, [f'{{"a":[{n}]}}' for n in numbers]) == [f'{{"a":[{v}]}}' for v in numbers.values()]
+
+
+def test_canonical_keys_and_strings(spark):
+    cases = {
+        '{"\U0001f600":1,"\uffee":2,"b":{"z":1,"ab":2,"a":3},"a":[{"y":1,"x":2}]}': '{"a":[{"x":2,"y":1}],"b":{"a":3,"ab":2,"z":1},"\uffee":2,"\U0001f600":1}',
+        ' { "q" : "1e2 \\u0041 \\" , {" } ': '{"q":"1e2 A \\" , {"}',
+        '{"\\u0062":1,"a":2}': '{"a":2,"b":1}',
+        '{"a":1,"a":2}': None, "{": None, "nul": None, "": None, "[]": "[]", "{}": "{}", '"x"': '"x"', "null": "null", '{"a!b":"#1"}': '{"a!b":"#1"}',
+    }
+    assert canonically(spark, cases) == list(cases.values())
+    assert canonically(spark, [None, '{"k":"' + "\\n" * 200_000 + '"}']) == [None, '{"k":"' + "\\n" * 200_000 + '"}']
+    text = json.dumps({f"k{i}": [i, {"v": str(i)}] for i in range(3000)})
+    assert canonically(spark, [text]) == [json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))]
+
+
+def test_long_chains_and_joins(spark):
+    """A chain of 300 calls each of which waits for the next, joins, circles and what hangs on them."""
+    call = lambda c, i, t, on: (c, i, t, "add", '{"a":1,"b":1}', on)
+    calls = [call(1, f"c{i}", i, [f"c{i + 1}"]) for i in range(300)]
+    calls += [call(2, "a", 1, ["b", "c"]), call(2, "b", 2, ["d"]), call(2, "c", 3, ["e"]), call(2, "d", 4, ["e"]), call(2, "e", 5, []), call(2, "f", 6, ["a", "b", "b"]), call(2, "g", 7, ["f"])]
+    calls += [call(3, "a", 1, ["b"]), call(3, "b", 2, ["c"]), call(3, "c", 3, ["a"]), call(3, "d", 4, ["c"]), call(3, "e", 5, ["d", "z"]), call(3, "f", 6, ["e", "g"]), call(3, "g", 7, [])]
+    got = {k: r.level for k, r in rows(spark, calls, []).items()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {f"c{i}": 299 - i for i in range(300)}
+    assert {k[1]: v for k, v in got.items() if k[0] == 2} == {"e": 0, "d": 1, "c": 1, "b": 2, "a": 3, "f": 4, "g": 5}
+    assert {k[1]: v for k, v in got.items() if k[0] == 3} == {"a": None, "b": None, "c": None, "d": None, "e": None, "f": None, "g": 0}
+
+
+def test_what_the_query_makes_up(spark, sf):
+    out = chat.linked_calls(*chat.faulty_calls(spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/conversations.parquet")), chat.REPLY)
+    rows_ = out.select("status", "level", "problems").collect()
+    assert {r.status for r in rows_} >= {"linked", "unanswered", "invalid"} and max(r.level for r in rows_) > 1
+    assert {p for r in rows_ for p in r.problems} == {"type:turn", "missing:text", "extra:more"}
+
+
 def test_results_without_a_call(spark):
     turns = [(1, 0, "assistant", "hello"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "assistant", "c"), (1, 3, "assistant", "d"), (2, 0, "system", "s"), (None, 4, "assistant", "n")]
     docs = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")

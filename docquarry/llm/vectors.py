@@ -15,8 +15,9 @@ from docquarry.llm.shared import cut, prepare
 COSINE = 0.95
 #: Blocks of the rotated space; vectors that fit the rotation and the cells (about); sampled vectors that a cell needs.
 BLOCKS, FIT_ROWS, CELL_ROWS = 4, 16_384, 16
-#: Least and most vectors of one side of a tile (in between, a third of all), rows of one matrix product, pairs verified at once.
-TILE_LEAST, TILE_MOST, STEP, PAIRS = 1024, 16_384, 256, 16_384
+#: Least and most vectors of one side of a tile (in between, a third of all); rows and columns of one matrix product, which stay in
+#: the processor's cache; pairs verified at once.
+TILE_LEAST, TILE_MOST, STEP, COLUMNS, PAIRS = 1024, 16_384, 256, 4096, 16_384
 SLACK = 1e-4
 TILE = ["block", "cell", "kind", "i", "j"]
 #: Tiles of two pieces of a cell, and of a piece of a cell with a piece of its visitors (the first also of the piece with itself).
@@ -126,12 +127,14 @@ def tile_links(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, blo
     # One product gives p.q - |p|^2 / 2 - |q|^2 / 2, which is -1/2 of the squared distance.
     left = np.concatenate([pa, -(pa**2).sum(1, keepdims=True) / 2, np.ones((len(pa), 1), np.float32)], 1)
     right = np.ascontiguousarray(np.concatenate([pb, np.ones((len(pb), 1), np.float32), -(pb**2).sum(1, keepdims=True) / 2], 1).T)
-    for start in range(0, len(left), STEP):
-        first = start if same else 0
-        near = left[start : start + STEP] @ right[:, first:] >= -budget / 2
+    spots = ((start, low) for start in range(0, len(left), STEP) for low in range(start if same else 0, right.shape[1], COLUMNS))
+    for start, low in spots:
+        near = left[start : start + STEP] @ right[:, low : low + COLUMNS] >= -budget / 2
         some = np.flatnonzero(near.any(1))
+        if not len(some):
+            continue
         i, j = np.nonzero(near[some])
-        i, j = some[i] + start, j + first
+        i, j = some[i] + start, j + low
         if same:
             i, j = i[i < j], j[i < j]
         for at in range(0, len(i), PAIRS):

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import spare
+from docquarry.llm.shared import bind, spare
 
 #: Notice texts of licence families, lower case.
 TEMPLATES = {
@@ -215,11 +215,6 @@ def shares_sql(words: str) -> str:
     return f"size(filter({words}, (t, i) -> t in {listed(firsts)} and concat_ws(' ', t, get({words}, i + 1), get({words}, i + 2)) in {listed(known)})) > 0"
 
 
-def bind(name: str, value: str, body: str) -> str:
-    """SQL: body with name standing for value, which is computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def scored_sql(weights: str, m: Model) -> str:
     """SQL: struct(z, three) of a paragraph's words w: the logit of each label, and the three-word shingles. weights: see model_column()."""
     n_gram = lambda n: f"transform(slice(sequence(0, size(w)), 1, greatest(size(w) - {n - 1}, 0)), i -> array_join(slice(w, i + 1, {n}), ' '))"

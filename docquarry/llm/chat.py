@@ -22,10 +22,10 @@ PLAIN_DIGITS = 21
 
 def plain_number(token: str) -> str:
     """SQL: a JSON number by its value alone, exactly: written out where PLAIN_DIGITS digits (or, for whole numbers, all that it has) do,
-    else as d.ddde+n; no zeros that say nothing. An exponent of more than 18 digits leaves a number as it stands."""
+    else as d.ddde+n; no zeros that say nothing. An exponent of more than 18 characters leaves a number as it stands."""
     part = lambda k: f"regexp_extract({token}, '^(-?)([0-9]+)(?:[.]([0-9]+))?(?:[eE]([-+]?[0-9]+))?$', {k})"
     # d: the digits without zeros at the ends; the value is 0.d times ten to the p.
-    exponent = f"if({part(4)} = '', 0L, try_cast({part(4)} as bigint))"
+    exponent = f"case when {part(4)} = '' then 0L when length({part(4)}) <= 18 then try_cast({part(4)} as bigint) end"
     point = f"{exponent} + length({part(2)}) - (length({part(2)}) + length({part(3)}) - length(x.lead))"
     whole, fraction = "rpad(n.d, int(n.p), '0')", "concat(substring(n.d, 1, int(n.p)), '.', substring(n.d, int(n.p) + 1))"
     small = "concat('0.', repeat('0', int(-n.p)), n.d)"

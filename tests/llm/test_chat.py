@@ -55,7 +55,7 @@ def canonically(spark, texts):
 def test_canonical_numbers(spark):
     numbers = {"1.0": "1", "1e0": "1", "1E2": "100", "-0": "0", "-0.0e9": "0", "0.10": "0.1", "1.50E+1": "15", "12.5e-1": "1.25", "1e21": "1e+21", "1e20": "1" + "0" * 20, "123e-9": "1.23e-7", "0.000001": "0.000001", "1e-7": "1e-7", "-2.50": "-2.5", "1e400": "1e+400", "100": "100"}
     long = "12345678901234567890123456789012345678901234567891"
-    numbers |= {long: long, long + "0": long[0] + "." + long[1:] + "e+50", "-" + long + ".50": "-" + long + ".5", "9" * 40 + "e-45": "0.00000" + "9" * 40}
+    numbers |= {long: long, long + "0": long[0] + "." + long[1:] + "e+50", "-" + long + ".50": "-" + long + ".5", "9" * 40 + "e-45": "0.00000" + "9" * 40, "1e9223372036854775807": "1e9223372036854775807", "1e-999999999999999": "1e-999999999999999"}
     assert canonically(spark, numbers) == list(numbers.values())
     assert canonically(spark, [f'{{"a":[{n}]}}' for n in numbers]) == [f'{{"a":[{v}]}}' for v in numbers.values()]
 

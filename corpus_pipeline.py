@@ -10,6 +10,10 @@ from docquarry.llm.shared import fresh_path, passing, table
 from docquarry.sources.shared import remove
 
 
+#: Words that a worker of the last stage remembers: by then it also holds what earlier stages left.
+REMEMBERED = 80_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scored = quality.classify(spark, docs, table(spark, sf_dir, "labels"))
@@ -33,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token count and digests of its tokens and of the text decoded from them."""
-    return bpe.encode_decode(spark, docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+    return bpe.encode_decode(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), memo=REMEMBERED).drop("text")
 
 
 STAGES = [

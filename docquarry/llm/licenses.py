@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import bind, spare
+from docquarry.llm.shared import bind, spare, spread
 
 #: Notice texts of licence families, lower case.
 TEMPLATES = {
@@ -278,7 +278,7 @@ def scan_licenses(docs: DataFrame, probability: float = PROBABILITY, overlap: fl
     # An overlap of 0 is a notice's only where none is asked for; all paragraphs are classified then.
     shares = (lambda w: shares_sql(w)) if overlap > 0 else (lambda w: "true")
     gated = f"filter(transform({parts}, (p, i) -> named_struct('i', i, 'p', p, 'all', {words_sql('p')})), s -> {shares('s.all')})"
-    out = docs.withColumn(parts, paragraphs).withColumns({"n_paragraphs": F.size(parts).cast("long"), weights: model_column(docs.sparkSession, m), able: F.expr(gated)})
+    out = (spread(docs) if "doc_id" in docs.columns else docs).withColumn(parts, paragraphs).withColumns({"n_paragraphs": F.size(parts).cast("long"), weights: model_column(docs.sparkSession, m), able: F.expr(gated)})
     # Of a paragraph's lines those with a shingle, and the words from the first to the last of them; without one, all of its words.
     # In steps, as columns: analysing one expression with all of these lambdas in one another takes far too long.
     lined = f"transform({able}, s -> named_struct('i', s.i, 'all', s.all, 'ls', transform(split(s.p, '\\n', -1), l -> {words_sql('l')})))"
